@@ -174,13 +174,19 @@ class WaveletShard:
 _tokenizers: dict[str, tuple] = {}
 
 
+#: ASCII marks that end a chunk. The tokenizer never joins them to a letter or digit.
+TAIL = b'.,;:!?$%&*#"()-'
+
+
 class _Chunks(dict):
     """chunk (bytes without ASCII white space) -> its ids as little-endian bytes.
 
     The tokenizer drops white space before it looks for words, so a text's ids are
-    those of its chunks in order. ``encode`` fills what a batch lacks in one call."""
+    those of its chunks in order. A chunk that ends in marks after a letter is its core
+    and these marks; ASCII cores are lower-cased, as the tokenizer does, so that each
+    core is encoded once. ``encode`` fills what a batch lacks in few calls."""
 
-    LIMIT = 400_000
+    LIMIT, CORES = 400_000, 800_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -189,17 +195,64 @@ class _Chunks(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.vocab = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2") if self.vocab <= 1 << 16 else np.dtype("<u4")
+        self.cores: dict[bytes, bytes] = {}
+        self.ends = np.zeros(self.vocab, bool)  # ids that end a word
+        for piece, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            self.ends[i] = piece.endswith("</w>")
+
+    @staticmethod
+    def _cut(chunk: bytes) -> tuple[bytes, bytes]:
+        """(core, tail); the tail is empty where the marks may belong to the core."""
+        if b"<|" in chunk:
+            return chunk, b""
+        core = chunk.rstrip(TAIL)
+        if not core:
+            return chunk, b""
+        if core.isascii():
+            core = core.lower()
+            return (core, chunk[len(core) :]) if core[-1:].isalnum() else (chunk.lower(), b"")
+        last = core[-2:].decode(errors="ignore")[-1:]
+        if last.isalpha() and last < "\u0250" and last != "\u0130":
+            return core, chunk[len(core) :]
+        return chunk, b""
+
+    def _ids(self, texts: list[bytes]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
+        return [np.array(e.ids, self.dtype).tobytes() for e in found]
+
+    def _words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words of letters alone: one text, cut after each id that ends a word."""
+        ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, np.int64)
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(words):  # a letter that the tokenizer rewrites to more
+            return self._ids(words)
+        data, size = ids.astype(self.dtype).tobytes(), self.dtype.itemsize
+        cuts = [0, *(ends * size).tolist()]
+        return [data[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def _encode_cores(self, cores: set[bytes]) -> None:
+        if len(self.cores) + len(cores) > self.CORES:
+            self.cores.clear()
+        words, others = [], []
+        for core in cores:
+            if core not in self.cores:
+                (words if core.isalpha() or core.decode().isalpha() else others).append(core)
+        for part, how in ((words, self._words), (others, self._ids)):
+            for at in range(0, len(part), 5000):
+                self.cores.update(zip(part[at : at + 5000], how(part[at : at + 5000])))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         split = [t.split() for t in texts]
-        new = [w for w in set().union(*split) if w not in self]
+        new = set().union(*split).difference(self)
         if len(self) + len(new) > self.LIMIT:
             self.clear()
-            new = list(set().union(*split))
-        for at in range(0, len(new), 5000):
-            part = new[at : at + 5000]
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            self.update(zip(part, [np.array(e.ids, self.dtype).tobytes() for e in found]))
+            new = set().union(*split)
+        cut = {chunk: self._cut(chunk) for chunk in new}
+        # a batch's own cores are held until its chunks are put together
+        self._encode_cores({x for pair in cut.values() for x in pair if x})
+        cores = self.cores
+        for chunk, (core, tail) in cut.items():
+            self[chunk] = cores[core] + cores[tail] if tail else cores[core]
         get = self.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
