@@ -26,11 +26,13 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import save
+from .words import Words, classes, ragged
 
 BLOCK = 1 << 16
 MAGIC = b"QWM1"
@@ -174,19 +176,19 @@ class WaveletShard:
 _tokenizers: dict[str, tuple] = {}
 
 
-#: ASCII marks that end a chunk. The tokenizer never joins them to a letter or digit.
-TAIL = b'.,;:!?$%&*#"()-'
+#: Between an ASCII letter or digit and these marks the tokenizer always ends a token.
+_KINDS = classes(b'.,;:!?$%&*#"()-')
 
 
 class _Chunks(dict):
-    """chunk (bytes without ASCII white space) -> its ids as little-endian bytes.
+    """hash of a chunk (bytes without white space) -> its ids as little-endian bytes.
 
-    The tokenizer drops white space before it looks for words, so a text's ids are
-    those of its chunks in order. A chunk that ends in marks after a letter is its core
-    and these marks; ASCII cores are lower-cased, as the tokenizer does, so that each
-    core is encoded once. ``encode`` fills what a batch lacks in few calls."""
+    The tokenizer lower-cases, drops white space and then looks for words, so a text's
+    ids are those of its chunks in order, chunks ending at white space and between
+    letters and marks. A chunk is encoded when it is first met. Texts with ``<|`` may
+    hold the strings of special tokens and are encoded as they are."""
 
-    LIMIT, CORES = 400_000, 800_000
+    LIMIT = 900_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -195,29 +197,12 @@ class _Chunks(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.vocab = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2") if self.vocab <= 1 << 16 else np.dtype("<u4")
-        self.cores: dict[bytes, bytes] = {}
         self.ends = np.zeros(self.vocab, bool)  # ids that end a word
         for piece, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
             self.ends[i] = piece.endswith("</w>")
 
-    @staticmethod
-    def _cut(chunk: bytes) -> tuple[bytes, bytes]:
-        """(core, tail); the tail is empty where the marks may belong to the core."""
-        if b"<|" in chunk:
-            return chunk, b""
-        core = chunk.rstrip(TAIL)
-        if not core:
-            return chunk, b""
-        if core.isascii():
-            core = core.lower()
-            return (core, chunk[len(core) :]) if core[-1:].isalnum() else (chunk.lower(), b"")
-        last = core[-2:].decode(errors="ignore")[-1:]
-        if last.isalpha() and last < "\u0250" and last != "\u0130":
-            return core, chunk[len(core) :]
-        return chunk, b""
-
-    def _ids(self, texts: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
+    def _ids(self, chunks: list[bytes]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast([t.decode() for t in chunks], add_special_tokens=False)
         return [np.array(e.ids, self.dtype).tobytes() for e in found]
 
     def _words(self, words: list[bytes]) -> list[bytes]:
@@ -230,31 +215,32 @@ class _Chunks(dict):
         cuts = [0, *(ends * size).tolist()]
         return [data[a:b] for a, b in zip(cuts, cuts[1:])]
 
-    def _encode_cores(self, cores: set[bytes]) -> None:
-        if len(self.cores) + len(cores) > self.CORES:
-            self.cores.clear()
-        words, others = [], []
-        for core in cores:
-            if core not in self.cores:
-                (words if core.isalpha() or core.decode().isalpha() else others).append(core)
-        for part, how in ((words, self._words), (others, self._ids)):
-            for at in range(0, len(part), 5000):
-                self.cores.update(zip(part[at : at + 5000], how(part[at : at + 5000])))
-
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        new = set().union(*split).difference(self)
-        if len(self) + len(new) > self.LIMIT:
+        special = {i: t for i, t in enumerate(texts) if b"<|" in t}
+        words = Words([b"" if i in special else t.lower() for i, t in enumerate(texts)], _KINDS)
+        codes, hashes = pd.factorize(words.hashes())
+        hashes, new = hashes.tolist(), []
+        if len(self) + len(hashes) > self.LIMIT:
             self.clear()
-            new = set().union(*split)
-        cut = {chunk: self._cut(chunk) for chunk in new}
-        # a batch's own cores are held until its chunks are put together
-        self._encode_cores({x for pair in cut.values() for x in pair if x})
-        cores = self.cores
-        for chunk, (core, tail) in cut.items():
-            self[chunk] = cores[core] + cores[tail] if tail else cores[core]
-        get = self.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        first = np.empty(len(hashes), np.int64)
+        first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+        new = [(h, words.word(i)) for h, i in zip(hashes, first.tolist()) if h not in self]
+        plain = [x for x in new if x[1].isalpha() or x[1].decode().isalpha()]
+        other = [x for x in new if not (x[1].isalpha() or x[1].decode().isalpha())]
+        for part, how in ((plain, self._words), (other, self._ids)):
+            for at in range(0, len(part), 5000):
+                self.update(zip((h for h, _ in part[at : at + 5000]), how([w for _, w in part[at : at + 5000]])))
+        found = [self[h] for h in hashes]
+        size = self.dtype.itemsize
+        flat = np.frombuffer(b"".join(found), self.dtype)
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // size
+        each = lengths[codes]
+        ids = flat[ragged((np.cumsum(lengths) - lengths)[codes], each)].tobytes()
+        cuts = (np.concatenate(([0], np.cumsum(each)))[words.first] * size).tolist()
+        out = [ids[a:b] for a, b in zip(cuts, cuts[1:])]
+        for i, t in special.items():
+            out[i] = self._ids([t])[0]
+        return out
 
 
 def chunks_of(path: str) -> _Chunks:
@@ -287,8 +273,8 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str =
 
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
-            for at in range(0, len(ids), 250):
-                for doc_id, code in zip(ids[at : at + 250], chunks.encode([t or b"" for t in texts[at : at + 250]])):
+            for at in range(0, len(ids), 500):
+                for doc_id, code in zip(ids[at : at + 500], chunks.encode([t or b"" for t in texts[at : at + 500]])):
                     code += tail
                     doc_ids.append(doc_id)
                     lengths.append(len(code) // chunks.dtype.itemsize)
