@@ -99,6 +99,12 @@ FROM c LEFT JOIN m ON m.page_id = c.page_id AND m.r = 1
 """
 
 
+def op7_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import neighbours
+
+    return neighbours(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("id") % 100 == 0)
+
+
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .wavelet import encode_and_read
 
@@ -106,5 +112,5 @@ def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_and_read(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_join, op3_source_mix, op4_tiff_media, op5_license_scan, op6_url_filter, op8_token_output)}
+QUERIES = {f.__name__: f for f in (op2_ngram_join, op3_source_mix, op4_tiff_media, op5_license_scan, op6_url_filter, op7_nearest_vectors, op8_token_output)}
 SQL: dict[str, str] = {"op6_url_filter": OP6_SQL}
