@@ -2,20 +2,21 @@
 
 Coarse centroids and the codebooks of the residuals are fitted on a bounded sample;
 every vector is indexed: its list is that of its nearest centroid, its code the nearest
-codeword in each slice of its residual. A query probes its ``probes`` nearest lists. In
-each it fills a table of distances from its own residual's slices to all codewords, and
-ranks the list's codes by sums of table entries (asymmetric distances). The ``keep`` best
-over all lists are measured again on the original vectors, in double precision.
+codeword in each slice of its residual. A query probes the nearest ``share`` of the
+lists. It fills one table of its products with all codewords; with what a list adds to
+them, a code's table entries sum to the query's distance from the coded vector
+(asymmetric distance). The ``keep`` best over all lists are measured again on the
+original vectors, in double precision.
 
-Lists are scanned in blocks of about ``BLOCK`` vectors, so a list that holds a third of
-all vectors is many tasks' work. Queries travel to the blocks of the lists that they
-probe; each sends back its best few.
+Lists are dealt to shelves of about ``BLOCK`` vectors, large ones in several parts, so a
+list that holds a third of all vectors is many tasks' work. A query visits the shelves
+that hold its lists; each sends back its best few in one row.
 
 Defined results: vectors that are null, zero, of another length than most, or that hold
 a null, NaN or infinite component take no part, as queries or candidates; equal
-vectors rank by vec_id; a query finds every candidate if fewer than ``k`` exist in the
-lists it probes, and probes all lists if there are no more than ``probes``; rows with a
-null id take no part; equal ids are found once for each of their vectors.
+vectors rank by vec_id; where the probed lists hold fewer than ``k`` vectors a query gets
+those; rows with a null id take no part; an id that stands on several vectors is
+measured at each of them.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import save
 
 SAMPLE = 20_000  # most vectors that centroids and codebooks are fitted on
-BLOCK = 4_096
+BLOCK = 16_384
 SLICES = 16
 CODEWORDS = 256
 
@@ -78,16 +79,28 @@ class Quantiser:
         codes = [nearest(rest[:, a:b], book) for a, b, book in zip(self.cuts, self.cuts[1:], self.books)]
         return lists, np.stack(codes, axis=1).astype(np.uint8)
 
-    def probed(self, x: np.ndarray, probes: int) -> np.ndarray:
+    def probed(self, x: np.ndarray, share: float) -> np.ndarray:
+        n = min(len(self.centres), max(32, int(np.ceil(share * len(self.centres)))))
         distance = (self.centres**2).sum(axis=1) - 2 * (x @ self.centres.T)
-        return np.argsort(distance, axis=1, kind="stable")[:, :probes]
+        return np.argsort(distance, axis=1, kind="stable")[:, :n]
 
-    def table(self, query: np.ndarray, list_id: int) -> np.ndarray:
-        """Squared distances from the query's residual slices to all codewords."""
-        rest = query - self.centres[list_id]
-        out = np.full((len(self.books), CODEWORDS), np.inf)
+    def products(self, query: np.ndarray) -> np.ndarray:
+        """-2 query . codeword for every slice and codeword."""
+        out = np.zeros((len(self.books), CODEWORDS))
         for i, (a, b, book) in enumerate(zip(self.cuts, self.cuts[1:], self.books)):
-            out[i, : len(book)] = ((book - rest[a:b]) ** 2).sum(axis=1)
+            out[i, : len(book)] = -2 * (book @ query[a:b])
+        return out.ravel()
+
+    def added(self, lists: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """What a coded vector adds to the products whatever the query: the sum over its
+        slices of |codeword|^2 + 2 centroid . codeword."""
+        out = np.zeros(len(lists))
+        for list_id in np.unique(lists):
+            table = np.zeros((len(self.books), CODEWORDS))
+            for i, (a, b, book) in enumerate(zip(self.cuts, self.cuts[1:], self.books)):
+                table[i, : len(book)] = (book**2).sum(axis=1) + 2 * (book @ self.centres[list_id, a:b])
+            own = lists == list_id
+            out[own] = table.ravel()[places[own]].sum(axis=1)
         return out
 
 
@@ -95,7 +108,7 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def neighbours(vectors: DataFrame, id_col: str, vec_col: str, is_query, k: int = 10, probes: int = 48, keep: int = 100) -> DataFrame:
+def neighbours(vectors: DataFrame, id_col: str, vec_col: str, is_query, k: int = 10, share: float = 0.7, keep: int = 200) -> DataFrame:
     """query_id, rank, vec_id, score of each query's k nearest found. is_query: a
     condition on the column ``id``."""
     spark = vectors.sparkSession
@@ -118,49 +131,52 @@ def neighbours(vectors: DataFrame, id_col: str, vec_col: str, is_query, k: int =
     def probe(batches):
         for batch in batches:
             if batch.num_rows:
-                lists = quantiser.value.probed(_matrix(batch.column(1), dim), probes)
-                n = lists.shape[1]
-                take = pa.array(np.repeat(np.arange(batch.num_rows), n))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(lists.ravel(), pa.int32())], names=["query_id", "q", "list"])
+                lists = quantiser.value.probed(_matrix(batch.column(1), dim), share)
+                ids = batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), lists.shape[1])))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(lists.ravel(), pa.int32())], names=["query_id", "probed"])
 
     codes = save(good.mapInArrow(index, "id long, list int, code binary"), "codes")
-    blocks = codes.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(BLOCK))).cast("int").alias("blocks"))  # one row per centroid
-    blocks = save(blocks, "blocks")
-    dealt = codes.join(F.broadcast(blocks), "list").select("id", "code", "list", F.pmod(F.xxhash64("id", "code"), "blocks").cast("int").alias("block"))
-    queries = good.where(is_query).mapInArrow(probe, "query_id long, q array<double>, list int")
-    parts = blocks.select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    queries = queries.join(F.broadcast(parts.withColumnRenamed("list", "probed")), F.col("list") == F.col("probed")).select("query_id", "q", "list", "block")
+    sizes = codes.groupBy("list").count()  # one row per centroid
+    shelves = -(-(sizes.agg(F.sum("count")).first()[0]) // BLOCK)
+    sizes = save(sizes.select("list", F.ceil(F.col("count") / F.lit(float(BLOCK))).cast("int").alias("parts")), "lists")
+    shelf = lambda part: F.pmod(F.xxhash64("list", part), F.lit(shelves)).cast("int").alias("shelf")
+    dealt = codes.join(F.broadcast(sizes), "list").select("id", "list", "code", shelf(F.pmod(F.xxhash64("id", "code"), "parts").cast("int")))
+    places = sizes.select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select(F.col("list").alias("probed"), shelf(F.col("part"))).distinct()
+    asked = save(good.where(is_query).select(F.col("id").alias("query_id"), F.col("v").alias("q")), "queries")
+    visits = asked.mapInArrow(probe, "query_id long, probed int").join(F.broadcast(places), "probed").select("query_id", "shelf").distinct()
+    visits = visits.join(asked, "query_id").select("query_id", "q", "shelf")
 
     def scan(key, codes_of, queries_of):
-        ids = codes_of["id"].to_numpy()
-        if not len(ids) or not len(queries_of):
-            return
-        code = np.frombuffer(b"".join(codes_of["code"]), np.uint8).reshape(len(ids), -1)
-        order = np.argsort(ids, kind="stable")  # ties in distance go to smaller ids
-        ids, code = ids[order], code[order].astype(np.int64)
-        code += np.arange(code.shape[1]) * CODEWORDS
-        found = []
-        for query_id, q in zip(queries_of["query_id"], queries_of["q"]):
-            distance = quantiser.value.table(np.asarray(q), int(key[0])).ravel()[code].sum(axis=1)
-            best = np.arange(len(ids))
-            if len(ids) > keep + 1:  # one more for the query's own row
-                best = np.sort(np.flatnonzero(distance <= np.partition(distance, keep)[keep]))
-            best = best[np.argsort(distance[best], kind="stable")][: keep + 1]
-            found.append((np.full(len(best), query_id), ids[best], distance[best]))
-        yield from ({"query_id": a, "vec_id": b, "near": c} for a, b, c in found)
-
-    def scan_frames(key, codes_of, queries_of):
         import pandas as pd
 
-        parts = list(scan(key, codes_of, queries_of)) or [{"query_id": [], "vec_id": [], "near": []}]
-        return pd.concat([pd.DataFrame(p) for p in parts], ignore_index=True)
-
-    met = dealt.groupBy("list", "block").cogroup(queries.groupBy("list", "block")).applyInPandas(scan_frames, "query_id long, vec_id long, near double")
+        ids, lists = codes_of["id"].to_numpy(), codes_of["list"].to_numpy()
+        out = []
+        if len(ids) and len(queries_of):
+            order = np.argsort(ids, kind="stable")  # ties in distance go to smaller ids
+            ids, lists = ids[order], lists[order]
+            code = np.frombuffer(b"".join(codes_of["code"]), np.uint8).reshape(len(ids), -1)[order].astype(np.int64)
+            code += np.arange(code.shape[1]) * CODEWORDS
+            pq = quantiser.value
+            added = pq.added(lists, code)
+            for query_id, q in zip(queries_of["query_id"], queries_of["q"]):
+                q = np.asarray(q)
+                base = np.full(len(pq.centres), np.inf)
+                near = pq.probed(q[None], share)[0]
+                base[near] = ((pq.centres[near] - q) ** 2).sum(axis=1)
+                distance = base[lists] + added + pq.products(q)[code].sum(axis=1)
+                best = np.flatnonzero(distance < np.inf)
+                if len(best) > keep + 1:  # one more for the query's own row
+                    best = best[distance[best] <= np.partition(distance[best], keep)[keep]]
+                best = best[np.argsort(distance[best], kind="stable")][: keep + 1]
+                out.append((query_id, ids[best], distance[best]))
+        return pd.DataFrame(out, columns=["query_id", "ids", "near"])
+
+    met = dealt.groupBy("shelf").cogroup(visits.groupBy("shelf")).applyInPandas(scan, "query_id long, ids array<long>, near array<double>")
+    flat = met.select("query_id", F.explode(F.arrays_zip("near", "ids")).alias("x")).select("query_id", F.col("x.ids").alias("vec_id"), F.col("x.near").alias("near"))
     nearer = Window.partitionBy("query_id").orderBy("near", "vec_id")
     # equal ids come once for each of their vectors from the rerank
-    best = met.where("query_id <> vec_id").withColumn("r", F.row_number().over(nearer)).where(F.col("r") <= keep).select("query_id", "vec_id").distinct()
+    best = flat.where("query_id <> vec_id").withColumn("r", F.row_number().over(nearer)).where(F.col("r") <= keep).select("query_id", "vec_id").distinct()
     originals = good.withColumnRenamed("id", "vec_id")
-    asked = good.where(is_query).select(F.col("id").alias("query_id"), F.col("v").alias("q"))
     squares = F.aggregate(F.zip_with("q", "v", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
     scored = best.join(originals, "vec_id").join(asked, "query_id").select("query_id", "vec_id", F.sqrt(squares).alias("score"))
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")).cast("int"))
