@@ -14,6 +14,13 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pieces import round_trips
+
+    small_batches(spark)
+    return round_trips(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import jaccard_classes
 
@@ -112,5 +119,5 @@ def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_and_read(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_join, op3_source_mix, op4_tiff_media, op5_license_scan, op6_url_filter, op7_nearest_vectors, op8_token_output)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_ngram_join, op3_source_mix, op4_tiff_media, op5_license_scan, op6_url_filter, op7_nearest_vectors, op8_token_output)}
 SQL: dict[str, str] = {"op6_url_filter": OP6_SQL}

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import save
-from .words import Words, classes, ragged
+from .words import Words, classes, first_places, ragged
 
 BLOCK = 1 << 16
 MAGIC = b"QWM1"
@@ -222,8 +222,7 @@ class _Chunks(dict):
         hashes, new = hashes.tolist(), []
         if len(self) + len(hashes) > self.LIMIT:
             self.clear()
-        first = np.empty(len(hashes), np.int64)
-        first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+        first = first_places(codes, len(hashes))
         new = [(h, words.word(i)) for h, i in zip(hashes, first.tolist()) if h not in self]
         plain = [x for x in new if x[1].isalpha() or x[1].decode().isalpha()]
         other = [x for x in new if not (x[1].isalpha() or x[1].decode().isalpha())]

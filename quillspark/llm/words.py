@@ -53,17 +53,28 @@ class Words:
         return self.data[self.starts[i] : self.ends[i]]
 
     def hashes(self) -> np.ndarray:
-        """Eight bytes at a time; only words that go on take part in the next round."""
-        eight = np.ndarray((len(self.data) - 7,), "<u8", self.data, strides=(1,))
-        at, left = self.starts, self.ends - self.starts
-        out = mix64(left.astype(U64) * U64(0x9E3779B97F4A7C15) ^ (eight[at] & _MASKS[np.minimum(left, 8)]))
-        on = np.flatnonzero(left > 8)
-        at, left = at[on] + 8, left[on] - 8
-        while len(on):
-            out[on] = mix64(out[on] * U64(0x9E3779B97F4A7C15) + (eight[at] & _MASKS[np.minimum(left, 8)]))
-            more = left > 8
-            on, at, left = on[more], at[more] + 8, left[more] - 8
-        return out
+        return hash_spans(self.data, self.starts, self.ends - self.starts)
+
+
+def hash_spans(data: bytes, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Hashes of the spans of these starts and lengths, eight bytes at a time; only those
+    that go on take part in the next round. Eight bytes must follow the last span."""
+    eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    out = mix64(left.astype(U64) * U64(0x9E3779B97F4A7C15) ^ (eight[at] & _MASKS[np.minimum(left, 8)]))
+    on = np.flatnonzero(left > 8)
+    at, left = at[on] + 8, left[on] - 8
+    while len(on):
+        out[on] = mix64(out[on] * U64(0x9E3779B97F4A7C15) + (eight[at] & _MASKS[np.minimum(left, 8)]))
+        more = left > 8
+        on, at, left = on[more], at[more] + 8, left[more] - 8
+    return out
+
+
+def first_places(codes: np.ndarray, n: int) -> np.ndarray:
+    """Where each of the codes 0 to n - 1 stands first."""
+    first = np.empty(n, np.int64)
+    first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+    return first
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
