@@ -119,5 +119,22 @@ def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_and_read(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_ngram_join, op3_source_mix, op4_tiff_media, op5_license_scan, op6_url_filter, op7_nearest_vectors, op8_token_output)}
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality_scores
+
+    small_batches(spark)
+    scores = quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scores.withColumn("keep", F.col("score") >= 0.5)
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text model is counted over documents, the evidence over pages."""
+    from .language import fuse, page_evidence, train
+
+    small_batches(spark)
+    model = train(table(spark, sf_dir, "documents"), "text", "lang")
+    return fuse(page_evidence(table(spark, sf_dir, "pages"), model)).withColumnRenamed("id", "page_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_ngram_join, op3_source_mix, op4_tiff_media, op5_license_scan, op6_url_filter, op7_nearest_vectors, op8_token_output, op9_quality, op10_language_id)}
 SQL: dict[str, str] = {"op6_url_filter": OP6_SQL}
