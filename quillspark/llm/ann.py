@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import save
 
-SAMPLE = 20_000  # most vectors that centroids and codebooks are fitted on
+SAMPLE = 20_000  # centroids and codebooks are fitted on about so many vectors
 BLOCK = 16_384
 SLICES = 16
 CODEWORDS = 256
@@ -118,9 +118,12 @@ def neighbours(vectors: DataFrame, id_col: str, vec_col: str, is_query, k: int =
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim = lengths[0].d
     good = save(good.where(F.size("v") == dim), "vectors")
-    # the sample is a hash order's first rows, so reruns fit the same quantiser
-    sample = good.select("v").orderBy(F.xxhash64("id", "v"), "id").limit(SAMPLE).toPandas()
-    quantiser = spark.sparkContext.broadcast(Quantiser(np.array(sample["v"].tolist())))
+    # about SAMPLE rows by a hash, so reruns fit the same quantiser
+    part = min(1.0, SAMPLE / max(good.count(), 1))
+    sample = good.where(F.pmod(F.xxhash64("id", "v"), F.lit(1 << 30)) < int(part * (1 << 30))).select("id", "v").toPandas()
+    sample = sample if len(sample) else good.limit(1).toPandas()
+    sample = sample.sort_values("id", kind="stable")["v"].tolist()
+    quantiser = spark.sparkContext.broadcast(Quantiser(np.array(sample)))
 
     def index(batches):
         for batch in batches:

@@ -31,6 +31,7 @@ from .common import save
 
 WORD = r"[^\x20\x09-\x0D]+"
 CHUNK = 128
+BROADCAST_ROWS = 500_000  # longer plans are joined by shuffling
 WEIGHTS = (3.0, 1.0, 2.0)
 
 
@@ -171,10 +172,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     words weigh nothing and stay once if anything of their source is taken."""
     plan = copies(docs, id_col, text_col, source_col, share, most)
     # equal rows have equal copies: one row per key joins back
-    plan = plan.groupBy("id", "source", "size").agg(F.max("copies").alias("copies"))
+    plan = save(plan.groupBy("id", "source", "size").agg(F.max("copies").alias("copies")), "plan")
+    rows = plan.count()
     d = docs.withColumn("__size", word_count(text_col)).alias("d")
     p = plan.select(F.col("id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__n"), F.col("copies").alias("__copies")).alias("p")
     met = F.col(f"d.{id_col}").eqNullSafe(F.col("p.__id")) & F.col(f"d.{source_col}").eqNullSafe(F.col("p.__source")) & (F.col("d.__size") == F.col("p.__n"))
     times = F.when(F.col("__size") == 0, F.lit(1)).otherwise(F.col("__copies"))
-    kept = d.join(p, met).withColumn("__copies", times).where("__copies > 0")
+    kept = d.join(F.broadcast(p) if rows <= BROADCAST_ROWS else p, met).withColumn("__copies", times).where("__copies > 0")
     return kept.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies").cast("long")))).select(*(F.col(f"d.`{c}`") for c in docs.columns))

@@ -60,10 +60,10 @@ def sets_of(texts: list[bytes], width: int) -> list[np.ndarray]:
             np.not_equal(t[1:], t[:-1], out=keep[1:])
             out.append(t[keep])
         elif n:
-            v = U64(n)
-            for x in h[a:b]:
-                v = mix64(np.array([v * U64(0xC2B2AE3D27D4EB4F) + x]))[0]
-            out.append(np.array([v]))
+            v = np.full(1, n, U64)
+            for i in range(a, b):
+                v = mix64(v * U64(0xC2B2AE3D27D4EB4F) + h[i : i + 1])
+            out.append(v)
         else:
             out.append(np.empty(0, U64))
     return out

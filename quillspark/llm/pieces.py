@@ -306,3 +306,21 @@ def round_trips(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: s
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, OUT)
+
+
+def encode_and_check(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_pieces, ids (array<int>) and round_trip: whether they decode to the text."""
+
+    def run(batches):
+        for batch in batches:
+            texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            for a, b in _blocks(texts):
+                p = model_of(model)
+                packed = p.encode(texts[a:b])
+                same = [p.decode(x) == t.replace(MARK.encode(), b" ") for x, t in zip(packed, texts[a:b])]
+                sizes = np.array([len(x) // 4 for x in packed], np.int64)
+                offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
+                ids = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(packed), "<i4")))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(sizes), ids, pa.array(same)], names=["doc_id", "n_pieces", "ids", "round_trip"])
+
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "doc_id long, n_pieces long, ids array<int>, round_trip boolean")
