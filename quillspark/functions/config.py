@@ -150,7 +150,7 @@ def effort_options(model: str | Column, effort: str | Column) -> Column:
 
 def cache_options(model: str | Column, check: str | Column, repo: str | Column) -> Column:
     """The key under which one provider keeps the rules prompt; null elsewhere."""
-    named = F.to_json(F.struct(F.struct(F.concat(F.lit("pr-validator:"), col(check), F.lit(":"), col(repo)).alias("promptCacheKey")).alias("openai")))
+    named = F.to_json(F.struct(F.struct(F.concat(F.lit("change-review:"), col(check), F.lit(":"), col(repo)).alias("promptCacheKey")).alias("openai")))
     return F.when((col(check) == "rules") & (F.substring_index(col(model), "/", 1) == "openai"), named)
 
 

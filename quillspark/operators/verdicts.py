@@ -10,7 +10,7 @@ from ..functions.text import cell, col, evidence, label, let, plain, prose, text
 
 STATUSES = ("pass", "fail", "tool-error", "skipped")
 SUMMARY_CHARS, ERROR_CHARS = 700, 1500
-MARKER = "<!-- pr-validator -->"  # fixed value: what marks the one comment of a change
+MARKER = "<!-- change-review -->"  # what marks the one comment of a change
 
 ITEM = "struct<id:string,criterion:string,verdict:string,evidence:string,reasoning:string,severity:string,issue:string,location:string,recommendation:string,rule:string,status:string,symbol:string,existing:string,existingLocation:string,suggestion:string>"
 ANSWER = f"struct<overall:string,summary:string,correspondence:string,correspondenceReason:string,criteria:array<{ITEM}>,findings:array<{ITEM}>,rules:array<{ITEM}>,symbols:array<{ITEM}>>"

@@ -507,7 +507,7 @@ def run_list_resolution(spark, sf_dir):
 
 
 OPTIONS = [
-    ("openai/x", "rules", "high", '{"openai":{"promptCacheKey":"pr-validator:rules:r","reasoningEffort":"high"}}'),
+    ("openai/x", "rules", "high", '{"openai":{"promptCacheKey":"change-review:rules:r","reasoningEffort":"high"}}'),
     ("openai/x", "tests", "max", '{"openai":{"reasoningEffort":"high"}}'),
     ("google/x", "tests", "low", '{"google":{"thinkingConfig":{"thinkingBudget":1024}}}'),
     ("other/x", "rules", "low", None),
