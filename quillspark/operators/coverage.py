@@ -41,8 +41,9 @@ def mention_split(symbols: DataFrame, corpus: DataFrame, name_col: str = "name",
 def coverage_summary(symbols: DataFrame, corpus: DataFrame, refused: int = 0) -> DataFrame:
     """One row: has_test_suite, test_files, refused, covered, orphans. Without a suite
     nothing is asked of the symbols."""
-    files = corpus.agg(F.count(F.lit(1)).alias("test_files"))
-    counts = mention_split(symbols, corpus).agg(F.count_if("covered").alias("c"), F.count_if(~F.col("covered")).alias("o"))
-    suite = F.col("test_files") + refused > 0
-    both = files.crossJoin(counts)  # one row each
-    return both.select(suite.alias("has_test_suite"), (F.col("test_files") + refused).alias("test_files"), F.lit(refused).alias("refused"), F.when(suite, F.col("c")).otherwise(0).alias("covered"), F.when(suite, F.col("o")).otherwise(0).alias("orphans"))
+    zero = lambda c: F.lit(0).cast("long").alias(c)
+    files = corpus.agg(F.count(F.lit(1)).alias("t")).select("t", zero("c"), zero("o"))
+    counts = mention_split(symbols, corpus).agg(F.count_if("covered").alias("c"), F.count_if(~F.col("covered")).alias("o")).select(zero("t"), "c", "o")
+    both = files.unionByName(counts).agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.sum("o").alias("o"))
+    n = F.col("t") + refused
+    return both.select((n > 0).alias("has_test_suite"), n.alias("test_files"), F.lit(refused).alias("refused"), F.when(n > 0, F.col("c")).otherwise(0).alias("covered"), F.when(n > 0, F.col("o")).otherwise(0).alias("orphans"))

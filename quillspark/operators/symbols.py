@@ -128,3 +128,13 @@ def introduced(added: DataFrame, index: DataFrame) -> DataFrame:
     met = a.join(index, ["path", "name"])
     best = F.min_by(F.struct(*(F.col(c) for c in index.columns)), F.struct((F.col("line") != F.col("a_line")).alias("other"), F.col("ord")))
     return met.groupBy("path", "name", "a_line", "a_ord").agg(best.alias("s")).select("a_ord", "s.*")
+
+
+def capped_index(files: DataFrame, most_files: int = 4_000, most_symbols: int = 120_000) -> tuple[DataFrame, bool]:
+    """The index under capacities, files by path and then symbols in order, and whether it
+    is partial. Both caps are parameters; :func:`symbol_index` has none."""
+    wanted = files.where(F.col("path").isNotNull() & language_of("path").isNotNull() & ~is_excluded_path("path")).orderBy("path").limit(most_files + 1)
+    more_files = wanted.count() > most_files
+    index = symbol_index(wanted.orderBy("path").limit(most_files)).orderBy("path", "ord").limit(most_symbols + 1)
+    more_symbols = index.count() > most_symbols
+    return index.orderBy("path", "ord").limit(most_symbols), more_files or more_symbols

@@ -699,3 +699,35 @@ def render_answers(spark, sf_dir):
 def corpus_lint(spark, sf_dir):
     found = lint.forbidden_terms(table(spark, sf_dir, "pages"), [r"track\([0-9]+\)"], "page_id", "html")
     return found.select(F.col("path").alias("page_id"), F.col("line").cast("long").alias("line"))
+
+
+PROMPTS = [("rules", "r", None, None), ("rules", "", None, "needs rules"), ("tests", None, None, "needs candidates"), ("tests", None, "## s", None), ("criteria", None, None, "needs a task or criteria"), ("odd", None, None, "unknown check")]
+
+
+@query(values_sql("id, error, prompted", *[(i, e, e is None) for i, (_, _, _, e) in enumerate(PROMPTS)]))
+def prompt_inputs(spark, sf_dir):
+    """Which checks have what their prompt must show."""
+    from .prompts import build_prompts
+
+    made = rows(spark, "id long, check string, rules_text string, section string, e string", *[(i, *p) for i, p in enumerate(PROMPTS)])
+    for c in ("header", "stat", "diff_section", "task_title", "task_description", "pr_title", "pr_body"):
+        made = made.withColumn(c, F.lit(None if c.startswith("task") else c).cast("string"))
+    out = build_prompts(made.withColumn("block_id", F.lit("1")).withColumn("criteria", F.lit(None).cast("array<string>")))
+    return out.select("id", "error", F.col("prompt").isNotNull().alias("prompted"))
+
+
+@query("SELECT page_id, i AS line, v AS pin FROM (SELECT page_id, unnest(l) AS t, generate_subscripts(l, 1) AS i FROM (SELECT page_id, string_split(html, chr(10)) AS l FROM pages)), (SELECT 1), LATERAL (SELECT unnest(regexp_extract_all(t, 'track\\(([0-9]+)\\)', 1)) AS v) WHERE v <> '7'")
+def version_pins(spark, sf_dir):
+    """Numbers in the pages' scripts as pins: those of another major number than 7."""
+    found = lint.pinned_versions(table(spark, sf_dir, "pages"), r"track\(([0-9]+)\)", 7, "page_id", "html")
+    return found.select(F.col("path").alias("page_id"), F.col("line").cast("long").alias("line"), "pin")
+
+
+@query("""
+WITH s AS (SELECT DISTINCT source FROM documents), d AS (SELECT source, count(*) FILTER (WHERE quality = 0) AS low FROM documents JOIN labels USING (doc_id) GROUP BY source)
+SELECT s.source FROM s WHERE s.source NOT IN (SELECT source FROM d WHERE low > 0)""")
+def not_scanned(spark, sf_dir):
+    """Sources without a low-quality label: what a scan should have reached and did not."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    low = docs.join(table(spark, sf_dir, "labels").where("quality = 0"), "doc_id").select("source").distinct()
+    return lint.not_scanned(docs.select("source"), low, "source")

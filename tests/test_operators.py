@@ -200,3 +200,37 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert len(seen) == 4
+
+
+def test_capped_index(spark):
+    df = spark.createDataFrame([(f"f{i}.ts", "export class A {}\nexport class B {}") for i in range(5)] + [("x.md", "no")], "path string, content string")
+    index, partial = symbols.capped_index(df, 3, 100)
+    assert partial and index.count() == 6
+    index, partial = symbols.capped_index(df, 5, 10)
+    assert not partial and index.count() == 10
+    assert symbols.capped_index(df, 5, 9)[1]
+
+
+def test_prompts(spark):
+    from quillspark.plans import prompts
+
+    side = "struct<name:string,kind:string,path:string,line:int,signature:string,body:string>"
+    rows = [("c", i, i == 0, 0.9, 1.0, 0.5, 0.8, ("f\n", "method", "a.cs", 3, "sig", "```" + "x" * 2000), ("g", "method", "b.cs", None, "sig", "")) for i in range(10)]
+    df = spark.createDataFrame(rows, f"change string, ord int, introduced_here boolean, score double, name_score double, signature_score double, body_score double, a {side}, b {side}")
+    section = prompts.pair_sections(df).first().section
+    assert section.count("### Pair") == prompts.PAIRS and "similarity 0.90 (name 1.00, signature 0.50, body 0.80)" in section
+    assert "New: f (method) — a.cs:3\n````\n```x" in section and "// [...truncated]" in section and "b.cs:0\n```\nsig\n```" in section
+    orphans = spark.createDataFrame([("c", 2, "h", "function", "x.ts", 9, "export h"), ("c", 1, "k", "function", "x.ts", 4, "export k")], "change string, ord int, name string, kind string, path string, line int, signature string")
+    assert prompts.candidate_sections(orphans).first().section.split("\n")[1] == "- k (function) — x.ts:4"
+    tasks = spark.createDataFrame([("c", 1, "7", "T", None)], "change string, ord int, id string, title string, description string")
+    assert prompts.context_sections(tasks).first().section.endswith("### Task #7\nT")
+    one = spark.createDataFrame([("3", "main", "dev", "r", "title", "open", True, True, "1")], "t string, b string, d string, r string, s string, st string, te boolean, i boolean, p string")
+    assert one.select(prompts.header("t", "b", "d", "r", "s", "st", "te", "i", "p").alias("h")).first().h.count("\n") == 4
+
+
+def test_context_notes(spark):
+    from quillspark.plans import prompts
+
+    df = spark.createDataFrame([(["a"], ["attempts: 9"], ["r"], True, "cut", True), (None, None, None, None, None, None)], "config_notes array<string>, refused array<string>, rules_notes array<string>, criteria_ignored boolean, diff_note string, index_truncated boolean")
+    got = [r.notes for r in prompts.context_notes(df).collect()]
+    assert len(got[0]) == 6 and got[0][0] == "a" and "attempts: 9" in got[0][1] and got[0][3:5] == ["cut", "r"] and got[1] == []
