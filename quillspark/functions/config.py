@@ -186,3 +186,25 @@ def run_list(runs: DataFrame, input_col: str = "input", config_col: str = "confi
 def run_matrix(checks: str | Column) -> Column:
     """The list of checks as the JSON that fans out jobs."""
     return F.to_json(col(checks))
+
+
+def repo_config(content: str | Column) -> Column:
+    """The branch's own file as config (JSON text), present and note: no file is no
+    config; what is no JSON object is ignored with a note, as are unknown keys."""
+    text = col(content)
+    good = is_object(text)
+    unknown = F.when(good, unknown_keys(text))
+    note = (
+        F.when(text.isNull(), F.lit(None))
+        .when(F.try_parse_json(text).isNull(), F.lit("no JSON: ignored"))
+        .when(~good, F.lit("no JSON object: ignored"))
+        .when(F.size(unknown) > 0, F.concat(F.lit("without effect: "), F.array_join(unknown, ", ")))
+    )
+    return F.struct(F.when(good, text).otherwise(F.lit("{}")).alias("config"), text.isNotNull().alias("present"), note.alias("note"))
+
+
+def check_table(spark) -> DataFrame:
+    """What ships with each check: check, pos, title, fail_on, effort, needs_code, blocking
+    and its limits."""
+    made = [(c, i, TITLES[c], SHIPPED[c]["failOn"], SHIPPED[c]["effort"], SHIPPED[c]["code"], True, SHIPPED[c]["maxDiffChars"], SHIPPED[c].get("threshold"), SHIPPED[c].get("maxCandidates")) for i, c in enumerate(CHECKS)]
+    return spark.createDataFrame(made, "check string, pos int, title string, fail_on array<string>, effort string, needs_code boolean, blocking boolean, max_diff_chars int, threshold double, max_candidates int")

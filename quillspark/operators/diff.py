@@ -115,3 +115,17 @@ def first_difference(a: str | Column, b: str | Column, around: int = 40) -> Colu
 def truncation_note(truncated: str | Column, shown: str | Column, total: str | Column, omitted: str | Column, files: str | Column) -> Column:
     scope = F.when(col(omitted) > 0, F.format_string("%d de %d archivos quedaron fuera", col(omitted), col(files))).otherwise(F.lit("el último archivo quedó incompleto"))
     return F.when(col(truncated), F.concat(F.format_string("Diff truncado en %d de %d caracteres: ", col(shown), col(total)), scope, F.lit(". La revisión es parcial.")))
+
+
+def too_large(patch: str | Column, most: int = 64 << 20) -> Column:
+    """Whether a patch is more than can be read: the change's own fault, not a tool's."""
+    return F.coalesce(F.octet_length(col(patch)) > most, F.lit(False))
+
+
+def classify_files(files: str | Column) -> Column:
+    """The paths of a change as files, code, non_code and has_code."""
+    from ..functions.paths import is_code_file
+
+    paths = F.coalesce(col(files), F.array().cast("array<string>"))
+    code = F.filter(paths, is_code_file)
+    return F.struct(paths.alias("files"), code.alias("code"), F.filter(paths, lambda p: ~is_code_file(p)).alias("non_code"), (F.size(code) > 0).alias("has_code"))

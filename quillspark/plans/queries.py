@@ -731,3 +731,27 @@ def not_scanned(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     low = docs.join(table(spark, sf_dir, "labels").where("quality = 0"), "doc_id").select("source").distinct()
     return lint.not_scanned(docs.select("source"), low, "source")
+
+
+@query(f"""
+WITH n AS (SELECT page_id, {_PATH_SQL} AS path FROM pages), g AS (SELECT page_id % 25 AS change, path, regexp_extract(path, '[^/]*$') AS name FROM n)
+SELECT change, count(*) AS files, count(*) FILTER (WHERE code) AS code, bool_or(code) AS has_code
+FROM (SELECT change, name <> '' AND NOT regexp_matches(name, '(?i)\\.(md|markdown|txt|rst|adoc|png|jpe?g|gif|svg|webp|ico|bmp|pdf|woff2?|ttf|eot|mp4|mov|zip|gz)$') AS code FROM g) GROUP BY change""")
+def classified_files(spark, sf_dir):
+    """Pages as files of 25 changes."""
+    marked = url_paths(spark, sf_dir).select((F.col("page_id") % 25).alias("change"), P.is_code_file("path").alias("code"))
+    return marked.groupBy("change").agg(F.count(F.lit(1)).alias("files"), F.count_if("code").alias("code"), F.bool_or("code").alias("has_code"))
+
+
+CONFIGS = [(1, None, "{}", False, None), (2, '{"model": "m"}', '{"model": "m"}', True, None), (3, "{broken", "{}", True, "no JSON: ignored"), (4, "[1]", "{}", True, "no JSON object: ignored"), (5, '{"colour": 1}', '{"colour": 1}', True, "without effect: colour")]
+
+
+@query(values_sql("id, config, present, note", *[(i, *r) for i, _, *r in CONFIGS]))
+def repo_configs(spark, sf_dir):
+    made = rows(spark, "id long, content string", *[(i, c) for i, c, *_ in CONFIGS])
+    return made.select("id", C.repo_config("content").alias("c")).select("id", "c.*")
+
+
+@query(values_sql("name, pos, fail_on, needs_code", *[(c, i, ",".join(C.SHIPPED[c]["failOn"]), c not in ("criteria", "rules")) for i, c in enumerate(C.CHECKS)]))
+def check_registry(spark, sf_dir):
+    return C.check_table(spark).select(F.col("check").alias("name"), F.col("pos").cast("long").alias("pos"), F.array_join("fail_on", ",").alias("fail_on"), "needs_code")

@@ -110,3 +110,19 @@ def test_config_bounds(spark):
     assert one(spark, config.highest_effort(F.lit("high"), F.lit("low"))) == "high"
     assert one(spark, config.highest_effort(F.lit("high"), F.lit("odd"))) == "high"
     assert one(spark, config.is_object(F.lit("[1]"))) is False and one(spark, config.is_object(F.lit('{"a":1}'))) is True
+
+
+def test_classified_files_and_sizes(spark):
+    from quillspark.operators import diff
+
+    c = one(spark, diff.classify_files(F.array(F.lit("a.py"), F.lit("README.md"), F.lit("LICENSE"))))
+    assert (c.code, c.non_code, c.has_code) == (["a.py"], ["README.md", "LICENSE"], True)
+    assert one(spark, diff.classify_files(F.lit(None).cast("array<string>"))).has_code is False
+    assert one(spark, diff.too_large(F.lit("abc"), 2)) is True and one(spark, diff.too_large(F.lit(None).cast("string"))) is False
+
+
+def test_run_inputs():
+    from quillspark.plans.inputs import RunInputs
+
+    got = RunInputs.of({"CHECK": "rules", "INPUT_CHECK": "", "PR_IS_FORK": "true", "HEAD_SHA": "abc"})
+    assert (got.check, got.is_fork, got.head, got.base) == ("rules", True, "abc", "origin/develop")
