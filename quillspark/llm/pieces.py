@@ -59,7 +59,7 @@ def _bpe(symbols: list[str], score: dict[str, float], least: int = 1) -> list[st
 class Pieces:
     """One model, ready to encode and decode."""
 
-    WORDS, PAIRS = 600_000, 2_000_000
+    WORDS, PAIRS = 300_000, 400_000
 
     def __init__(self, path: str):
         from sentencepiece import sentencepiece_model_pb2 as proto
@@ -252,8 +252,8 @@ def model_of(path: str) -> Pieces:
 OUT = "doc_id long, n_pieces long, ids_crc32 long, decoded_crc32 long, round_trip boolean"
 
 
-def _blocks(texts: list[bytes], most: int = 4_000_000):
-    """Runs of texts of some million bytes in all: (start, end)."""
+def _blocks(texts: list[bytes], most: int = 1_000_000):
+    """Runs of texts of about a million bytes in all: (start, end)."""
     start, held = 0, 0
     for i, t in enumerate(texts):
         held += len(t)
