@@ -5,7 +5,8 @@ looks like (kinds of characters, repetition, hashed words) and what is known abo
 (source, language, declared and real length). Two logistic models start from the
 labelled rows, one per view. In every round both score all unlabelled documents, and
 the confident answers of each become pseudo-labels for the other, which is fitted
-again. At the end each view is calibrated on labelled rows that neither was fitted
+again. An answer is confident if its probability is ``SURE`` and its odds are ``LIFT``
+times what labels in general say: a view that knows nothing teaches nothing. At the end each view is calibrated on labelled rows that neither was fitted
 on, a logistic combination of the two calibrated log-odds is fitted on them, and all
 documents are scored.
 
@@ -36,6 +37,7 @@ SAMPLE = 20_000
 POOL = 10_000
 ROUNDS = 3
 SURE = 0.98
+LIFT = 20.0
 BAG = 32
 _CLASSES = [b" \t\r\x0b\x0c", b"\n", b"0123456789", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b".", b",", b"!?", b"|", b"$%&#*", b"<>{}[]()=/\\_@", b"'\"-;:"]
 _CLASS = np.full(256, len(_CLASSES), np.uint8)
@@ -187,6 +189,7 @@ def co_train(features: DataFrame) -> CoModel | float:
     if len(set(y[own])) < 2:
         return float(y.mean()) if len(y) else 1.0
     model = CoModel(Logistic(text[own], y[own]), Logistic(meta[own], y[own]))
+    prior = float(y[own].sum() / (1 - y[own]).sum())  # odds of a good label
     unlabelled = features.where("label is null")
     for number in range(ROUNDS):
         # calibrated, so that a view is only as sure as it has been right
@@ -195,7 +198,9 @@ def co_train(features: DataFrame) -> CoModel | float:
         scored = score(unlabelled, model, extra=("tf", "mf"))
         data = []
         for view in ("text_score", "meta_score"):
-            sure = scored.where((F.col(view) >= SURE) | (F.col(view) <= 1 - SURE))
+            good = (F.col(view) >= SURE) & (F.col(view) / (1 - F.col(view) + 1e-12) >= LIFT * prior)
+            bad = (F.col(view) <= 1 - SURE) & (F.col(view) / (1 - F.col(view) + 1e-12) * LIFT <= prior)
+            sure = scored.where(good | bad)
             x = _arrays(_drawn(sure, POOL, 10 + number), view)
             data.append((x[0], x[1], np.round(x[2])))
         from_text, from_meta = data
