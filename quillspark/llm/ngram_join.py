@@ -10,12 +10,15 @@ sequence; without words nothing), as 64-bit hashes. Two documents link when
    differ in tokens. Linked sets agree on a whole part, so only classes that share a
    part (a matrix row that marks two columns) go on. Parts hold several tokens, so a
    passage that many documents share does not make them meet.
-3. Classes are partitioned into groups of similar ones, by the most shared part that
-   each has; large groups are split to at most ``GROUP_TOKENS`` tokens.
-4. Groups that share a part exchange documents as queries: the smaller group's go to
-   the larger one, which holds its token union. A query's overlap with the union bounds
-   its overlap with every member; where the bound allows a link, the group is opened and
-   all its members are counted through the group's postings.
+   Linked sets agree on many parts (on all but so many), and a class that shares fewer
+   with all others together is left out.
+3. Classes are partitioned into groups of similar ones: by the most shared part that
+   each has, then drawn to the heaviest group that they would visit. Large groups are
+   split to about ``GROUP_TOKENS`` tokens.
+4. A query's overlap with the parts of a heavier group bounds its overlap with every
+   member's; where the bound allows a link, the document visits the group, which holds
+   its token union. The overlap with that bounds a link again; only where it allows one
+   the group is opened and all its members are counted through the group's postings.
 5. Of the links found in a group only a spanning forest leaves it; components come from
    star contractions over these. Counts of links are summed before.
 
@@ -36,7 +39,9 @@ from pyspark.sql import functions as F
 from .common import U64, drop, mix64, save
 from .words import Words, ragged
 
-GROUP_TOKENS = 1 << 18
+GROUP_TOKENS = 1 << 20
+REGROUPINGS = 3
+LOOKED_AT = 3
 BROADCAST_ROWS = 1_000_000
 
 # ------------------------------------------------------------------ sets
@@ -97,14 +102,17 @@ def cuts(parts: int) -> np.ndarray:
     return np.array([(k << 64) // parts for k in range(1, parts)], U64)
 
 
-def signatures(tokens: np.ndarray, percent: int) -> np.ndarray:
-    """Hashes of the parts of a set, under the schemes of the bands in which the smaller
-    set of a linked pair with it may lie. Empty parts count only where fewer than
-    differ() + 1 parts hold tokens: else a part with tokens agrees already."""
+def signatures(tokens: np.ndarray, percent: int) -> list[tuple[np.ndarray, int]]:
+    """For each scheme in which the set may meet linked sets (those of the bands where the
+    smaller set of such a pair may lie): hashes of its parts, and how many of them it must
+    share with any set that it links with.
+
+    A linked set differs in at most differ() tokens, so it agrees on all but so many of
+    the parts that hold tokens. Empty parts count only where that promises nothing."""
     size = len(tokens)
     least, edges = bands(percent)
     if size < least:
-        return np.empty(0, U64)
+        return []
     band = int(np.searchsorted(edges, size, "right")) - 1
     schemes = [band]
     if band and -(-size * percent // 100) < edges[band]:
@@ -117,11 +125,12 @@ def signatures(tokens: np.ndarray, percent: int) -> np.ndarray:
         full = at[1:] > at[:-1]
         names = mix64(np.arange(parts, dtype=U64) + U64((scheme + 1) << 32))
         sig = mix64((sums[at[1:]] - sums[at[:-1]]) ^ names)
-        out.append(sig[full] if np.count_nonzero(full) > differ(size, percent) else sig)
-    return np.concatenate(out)
+        promised = int(np.count_nonzero(full)) - differ(size, percent)
+        out.append((sig[full], promised) if promised > 0 else (sig, 1))
+    return out
 
 
-SETS = "doc_id long, n_shingles long, h1 long, h2 long, parts array<long>"
+SETS = "doc_id long, n_shingles long, h1 long, h2 long, parts array<long>, cut int, need0 int, need1 int"
 
 
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
@@ -131,12 +140,19 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int, percen
             rows = []
             for at in range(0, len(texts), 200):
                 for t in sets_of(texts[at : at + 200], width):
-                    rows.append((len(t), mix64(t).sum(dtype=U64), mix64(t ^ U64(0x5851F42D4C957F2D)).sum(dtype=U64), signatures(t, percent)))
+                    signed = [*signatures(t, percent), *[(np.empty(0, U64), 0)] * 2]
+                    rows.append((len(t), mix64(t).sum(dtype=U64), mix64(t ^ U64(0x5851F42D4C957F2D)).sum(dtype=U64), np.concatenate([signed[0][0], signed[1][0]]), len(signed[0][0]), signed[0][1], signed[1][1]))
             offsets = np.concatenate(([0], np.cumsum([len(r[3]) for r in rows]))).astype(np.int32)
             flat = np.concatenate([r[3] for r in rows]).view(np.int64) if rows else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([r[0] for r in rows], pa.int64()), *(pa.array(np.array([r[i] for r in rows], U64).view(np.int64)) for i in (1, 2)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-                names=["doc_id", "n_shingles", "h1", "h2", "parts"],
+                [
+                    batch.column(0),
+                    pa.array([r[0] for r in rows], pa.int64()),
+                    *(pa.array(np.array([r[i] for r in rows], U64).view(np.int64)) for i in (1, 2)),
+                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
+                    *(pa.array([r[i] for r in rows], pa.int32()) for i in (4, 5, 6)),
+                ],
+                names=["doc_id", "n_shingles", "h1", "h2", "parts", "cut", "need0", "need1"],
             )
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, SETS)
@@ -274,6 +290,40 @@ def components(edges: DataFrame) -> DataFrame:
             return edges.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
 
 
+def _grouped(keyed: DataFrame, most: int) -> DataFrame:
+    """rep, members, n, key, home: classes with equal keys share a group, split by a hash
+    into groups of about ``most`` tokens. The number of a group starts with its tokens, so
+    heavier groups have larger numbers; the few that agree in number are one group."""
+    splits = keyed.groupBy("key").agg(F.ceil(F.sum("n") / F.lit(float(most))).alias("splits"))
+    placed = keyed.join(splits, "key").select("rep", "members", "n", "key", F.xxhash64("key", F.pmod(F.xxhash64("rep"), "splits")).alias("g"))
+    weights = placed.groupBy("g").agg(F.least(F.sum("n"), F.lit((1 << 31) - 1)).alias("w"))
+    home = F.shiftleft("w", 32).bitwiseOR(F.col("g").bitwiseAND(F.lit((1 << 32) - 1)))
+    return save(placed.join(weights, "g").select("rep", "members", "n", "key", home.alias("home")), "grouped")
+
+
+def _drawn(marks: DataFrame, grouped: DataFrame, turn: int) -> DataFrame:
+    """rep, drawn: the heaviest group that holds about as many of a class's parts as one
+    that it links with must. It only decides where documents are compared, so the
+    heaviest group of each part and, by turns, one in ``LOOKED_AT`` parts are looked at."""
+    some = marks.where(F.pmod("part", F.lit(LOOKED_AT)) == turn % LOOKED_AT)
+    placed = some.select("rep", "scheme", "part", "need").join(grouped.select("rep", "home"), "rep")
+    heaviest = placed.groupBy("part").agg(F.max("home").alias("to"))
+    met = placed.join(heaviest, "part").where("to > home").groupBy("rep", "scheme", "to").agg(F.count(F.lit(1)).alias("met"), F.min("need").alias("need"))
+    return met.where(F.col("met") * 2 * LOOKED_AT >= F.col("need")).groupBy("rep").agg(F.max("to").alias("drawn"))
+
+
+def _visits(marks: DataFrame, grouped: DataFrame, needs: DataFrame) -> DataFrame:
+    """rep, to: heavier groups that a class must visit. Those of its own key it visits
+    without further ado; of the others those that hold as many of its parts as a class
+    that it links with must. Rows of the matrix are parts, its columns groups."""
+    own = grouped.select("key", F.col("home").alias("to")).distinct()
+    own = grouped.select("rep", "key", "home").join(own, "key").where("to > home").select("rep", "to")
+    placed = marks.select("rep", "scheme", "part").join(grouped.select("rep", "key", "home"), "rep")
+    cells = placed.select("part", F.col("key").alias("to_key"), F.col("home").alias("to")).distinct()
+    met = placed.join(cells, "part").where("to > home and to_key <> key").groupBy("rep", "scheme", "to").agg(F.count(F.lit(1)).alias("met"))
+    return own.unionByName(met.join(needs, ["rep", "scheme"]).where("met >= need").select("rep", "to")).distinct()
+
+
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 90) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, n_links."""
     sets = save(shingle_sets(docs, id_col, text_col, width, percent), "sets")
@@ -285,30 +335,37 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # parts that two classes share; a class's parts are those of its smallest doc_id
     reps = classes.select("h1", "h2", "rep")
-    heads = known.where(F.size("parts") > 0).select(F.col("doc_id").alias("rep"), "h1", "h2", "parts").join(small(reps), ["rep", "h1", "h2"], "left_semi")
-    marks = heads.select("rep", F.explode("parts").alias("part"))
+    heads = known.where(F.size("parts") > 0).withColumnRenamed("doc_id", "rep").join(small(reps), ["rep", "h1", "h2"], "left_semi")
+    marks = heads.select("rep", F.posexplode("parts").alias("i", "part"), "cut").select("rep", (F.col("i") >= F.col("cut")).cast("tinyint").alias("scheme"), "part")
     shared = marks.withColumn("columns", F.count(F.lit(1)).over(Window.partitionBy("part"))).where("columns > 1")
     shared = save(shared, "shared")
-
-    # groups: the most shared part of each class, split by tokens
-    chosen = shared.groupBy("rep").agg(F.max(F.struct("columns", "part"))["part"].alias("key"))
-    chosen = chosen.join(classes.groupBy("rep").agg(F.sum("members").alias("members"), F.sum("n").alias("n")), "rep")
-    chosen = save(chosen, "chosen")
-    splits = chosen.groupBy("key").agg(F.ceil(F.sum("n") / F.lit(float(GROUP_TOKENS))).alias("splits"))
-    grouped = chosen.join(splits, "key").select("rep", "members", "n", F.xxhash64("key", F.pmod(F.xxhash64("rep"), "splits")).alias("home"))
-    grouped = save(grouped, "grouped")
-    weights = grouped.groupBy("home").agg(F.sum("n").alias("weight"))
-
-    # matrix cells: part x group; groups in one row exchange queries
-    cells = shared.select("rep", "part").join(grouped.select("rep", "home"), "rep").select("part", "home").distinct()
-    cells = save(cells.join(weights, "home"), "cells")
-    x, y = cells.alias("x"), cells.alias("y")
-    bigger = F.struct("x.weight", "x.home") > F.struct("y.weight", "y.home")
-    visits = x.join(y, F.col("x.part") == F.col("y.part")).where(bigger).select(F.col("x.home").alias("to"), F.col("y.home").alias("home")).distinct()
-
-    # each class goes to its own group and as a query to the groups that share a part
+    # a class goes on only if it shares as many parts as a linked one must
+    needs = heads.select("rep", F.lit(0).cast("tinyint").alias("scheme"), F.col("need0").alias("need")).unionByName(
+        heads.where("need1 > 0").select("rep", F.lit(1).cast("tinyint").alias("scheme"), F.col("need1").alias("need"))
+    )
+    needs = needs.groupBy("rep", "scheme").agg(F.min("need").alias("need"))
+    enough = shared.groupBy("rep", "scheme").agg(F.count(F.lit(1)).alias("met"), F.max(F.struct("columns", "part")).alias("most"))
+    enough = save(enough.join(small(needs), ["rep", "scheme"]).where("met >= need").select("rep", "scheme", "need", "most"), "enough")
+    few_left = enough.count() <= BROADCAST_ROWS
+    left = F.broadcast if few_left else lambda df: df
+    needs = left(enough.select("rep", "scheme", "need"))
+    marks = save(shared.drop("columns").join(needs, ["rep", "scheme"]), "marks")
+
+    # groups: at first by the most shared part of each class, then by the heaviest group
+    # that each class would visit, which draws those of one neighbourhood together
+    chosen = enough.groupBy("rep").agg(F.max("most")["part"].alias("key"))
+    chosen = left(chosen).join(classes.groupBy("rep").agg(F.sum("members").alias("members"), F.sum("n").alias("n")), "rep")
+    grouped = _grouped(save(chosen, "chosen"), 1 << 62)
+    for turn in range(REGROUPINGS):
+        keyed = grouped.join(_drawn(marks, left(grouped), turn), "rep", "left").select("rep", "members", "n", F.coalesce("drawn", "home").alias("key"))
+        grouped = _grouped(save(keyed, "drawn"), 1 << 62)
+    grouped = _grouped(grouped.select("rep", "members", "n", F.col("home").alias("key")), GROUP_TOKENS)
+    # matrix cells: part x group
+    visits = save(_visits(marks, left(grouped), needs), "visits")
+
+    # each class goes to its own group and as a query to the groups that it visits
     trips = grouped.select("rep", "members", F.col("home").alias("to"), F.lit(0).alias("visit")).unionByName(
-        grouped.join(visits, "home").select("rep", "members", "to", F.lit(1).alias("visit"))
+        grouped.join(visits, "rep").select("rep", "members", "to", F.lit(1).alias("visit"))
     )
     trips = save(trips, "trips")
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).where("rep is not null")
