@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import save, tidy
 
 SAMPLE = 20_000  # centroids and codebooks are fitted on about so many vectors
 BLOCK = 16_384
@@ -138,7 +138,7 @@ def neighbours(vectors: DataFrame, id_col: str, vec_col: str, is_query, k: int =
                 ids = batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), lists.shape[1])))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(lists.ravel(), pa.int32())], names=["query_id", "probed"])
 
-    codes = save(good.mapInArrow(index, "id long, list int, code binary"), "codes")
+    codes = save(good.mapInArrow(tidy(index), "id long, list int, code binary"), "codes")
     sizes = codes.groupBy("list").count()  # one row per centroid
     shelves = -(-(sizes.agg(F.sum("count")).first()[0]) // BLOCK)
     sizes = save(sizes.select("list", F.ceil(F.col("count") / F.lit(float(BLOCK))).cast("int").alias("parts")), "lists")
@@ -146,7 +146,7 @@ def neighbours(vectors: DataFrame, id_col: str, vec_col: str, is_query, k: int =
     dealt = codes.join(F.broadcast(sizes), "list").select("id", "list", "code", shelf(F.pmod(F.xxhash64("id", "code"), "parts").cast("int")))
     places = sizes.select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select(F.col("list").alias("probed"), shelf(F.col("part"))).distinct()
     asked = save(good.where(is_query).select(F.col("id").alias("query_id"), F.col("v").alias("q")), "queries")
-    visits = asked.mapInArrow(probe, "query_id long, probed int").join(F.broadcast(places), "probed").select("query_id", "shelf").distinct()
+    visits = asked.mapInArrow(tidy(probe), "query_id long, probed int").join(F.broadcast(places), "probed").select("query_id", "shelf").distinct()
     visits = visits.join(asked, "query_id").select("query_id", "q", "shelf")
 
     def scan(key, codes_of, queries_of):

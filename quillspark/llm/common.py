@@ -78,3 +78,24 @@ _hashes = WordHashes()
 
 def hash_words(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_hashes.__getitem__, words), U64, len(words))
+
+
+def tidy(run):
+    """The function for mapInArrow that, when its partition ends, hands memory that it no
+    longer uses back to the system: workers live on for tasks of other stages."""
+
+    def tidied(batches):
+        yield from run(batches)
+        import ctypes
+        import gc
+
+        import pyarrow as pa
+
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return tidied

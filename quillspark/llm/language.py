@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import save, tidy
 
 LANGUAGES = ("de", "en", "es", "fr")
 BUCKETS = 4096
@@ -64,7 +64,7 @@ def train(docs: DataFrame, text_col: str, lang_col: str, languages: tuple[str, .
         yield pa.RecordBatch.from_arrays([pa.array(range(len(languages)), pa.int32()), pa.array(counts.tolist(), pa.list_(pa.int64()))], names=["lang", "counts"])
 
     known = docs.where(F.col(lang_col).isin(*languages)).select(lang_col, text_col)
-    cells = known.mapInArrow(run, "lang int, counts array<long>").select("lang", F.posexplode("counts").alias("bucket", "n"))
+    cells = known.mapInArrow(tidy(run), "lang int, counts array<long>").select("lang", F.posexplode("counts").alias("bucket", "n"))
     counts = np.full((len(languages), BUCKETS), 0.5)
     for lang, bucket, n in cells.groupBy("lang", "bucket").agg(F.sum("n")).collect():  # languages x buckets at most
         counts[lang, bucket] += n
@@ -167,7 +167,7 @@ def page_evidence(pages: DataFrame, model: np.ndarray, id_col: str = "page_id",
                 rows.append((page_id, likelihoods(_DROP.sub(b" ", html), model), declared[1].decode() if declared else None, *address_of(url)))
             yield _batch(rows)
 
-    return pages.select(F.col(id_col).cast("long"), url_col, html_col).mapInArrow(run, EVIDENCE_SCHEMA)
+    return pages.select(F.col(id_col).cast("long"), url_col, html_col).mapInArrow(tidy(run), EVIDENCE_SCHEMA)
 
 
 def document_evidence(docs: DataFrame, model: np.ndarray, id_col: str, text_col: str, lang_col: str, source_col: str) -> DataFrame:
@@ -179,4 +179,4 @@ def document_evidence(docs: DataFrame, model: np.ndarray, id_col: str, text_col:
             rows = [(d, likelihoods(t or b"", model), lang, None, s, s) for d, t, lang, s in zip(ids.to_pylist(), texts.cast(pa.binary()).to_pylist(), langs.to_pylist(), sources.to_pylist())]
             yield _batch(rows)
 
-    return docs.select(F.col(id_col).cast("long"), text_col, F.col(lang_col).cast("string"), F.col(source_col).cast("string")).mapInArrow(run, EVIDENCE_SCHEMA)
+    return docs.select(F.col(id_col).cast("long"), text_col, F.col(lang_col).cast("string"), F.col(source_col).cast("string")).mapInArrow(tidy(run), EVIDENCE_SCHEMA)

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 # Phrases of the base scan and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
@@ -82,7 +84,7 @@ def document_frequencies(docs: DataFrame, text_col: str, vocabulary: frozenset[b
         rows = [("", total), *((w.decode(), n) for w, n in found.items())]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.int64())], names=["word", "n"])
 
-    rows = docs.select(text_col).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select(text_col).mapInArrow(tidy(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     counts = {r.word.encode(): r.n for r in rows}
     return counts.pop(b"", 0), counts
 
@@ -157,4 +159,4 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             rows = [row(d, t) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, SCAN)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(tidy(run), SCAN)

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, drop, mix64, save
+from .common import U64, drop, mix64, save, tidy
 from .words import Words, ragged
 
 GROUP_TOKENS = 1 << 20
@@ -155,7 +155,7 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int, percen
                 names=["doc_id", "n_shingles", "h1", "h2", "parts", "cut", "need0", "need1"],
             )
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, SETS)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(tidy(run), SETS)
 
 
 # ------------------------------------------------------------------ the matrix
@@ -371,7 +371,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).where("rep is not null")
     met = texts.join(F.broadcast(trips) if trips.count() <= BROADCAST_ROWS else trips, "rep")
     rows = met.select(F.col("to").alias("home"), "visit", "rep", "members", "text").repartition("home").sortWithinPartitions("home", "visit")
-    found = save(rows.mapInArrow(_open_groups(percent, width), FOUND), "found")
+    found = save(rows.mapInArrow(tidy(_open_groups(percent, width)), FOUND), "found")
 
     labels = components(found.where("b is not null").select("a", "b"))
     links = found.where("b is null").groupBy("a").agg(F.sum("links").alias("links"))

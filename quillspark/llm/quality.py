@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import save, tidy
 from .words import Words
 
 SAMPLE = 20_000
@@ -159,7 +159,7 @@ def featured(docs: DataFrame, labels: DataFrame | None, id_col: str, text_col: s
                     names=["doc_id", "tf", "mf"],
                 )
 
-    found = rows.mapInArrow(run, "doc_id long, tf binary, mf binary")
+    found = rows.mapInArrow(tidy(run), "doc_id long, tf binary, mf binary")
     if labels is None:
         return found.withColumn("label", F.lit(None).cast("double"))
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.round(F.avg("quality")).alias("label"))
@@ -226,7 +226,7 @@ def score(features: DataFrame, model: CoModel | float, extra: tuple[str, ...] =
                 found = model.scores(_unpack(batch.column("tf"), N_TEXT), _unpack(batch.column("mf"), N_META))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(batch.column(c) for c in extra), *map(pa.array, found)], names=["doc_id", *extra, "text_score", "meta_score", "score"])
 
-    return features.select("doc_id", "tf", "mf").mapInArrow(run, f"doc_id long, {''.join(f'{c} {kinds[c]}, ' for c in extra)}{SCORES}")
+    return features.select("doc_id", "tf", "mf").mapInArrow(tidy(run), f"doc_id long, {''.join(f'{c} {kinds[c]}, ' for c in extra)}{SCORES}")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -251,4 +251,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Dat
             good = [model.scores(text_features(texts[at : at + 200]), meta[at : at + 200])[2] >= threshold for at in range(0, len(texts), 200)]
             yield batch.filter(pa.array(np.concatenate(good) if good else np.empty(0, bool)))
 
-    return docs.select(*columns).mapInArrow(run, schema)
+    return docs.select(*columns).mapInArrow(tidy(run), schema)

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 WIDTH = 64
 PAGE_ROWS = 16_384
 STRIP_ROWS = 1_024
@@ -324,7 +326,7 @@ def tiff_pages(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
                     if row[-1]:
                         break
 
-    return rows.mapInArrow(run, f"id {kind.simpleString()}, {PAGES}")
+    return rows.mapInArrow(tidy(run), f"id {kind.simpleString()}, {PAGES}")
 
 
 def payload_of(text: bytes) -> bytes:
@@ -341,7 +343,7 @@ def tiff_column(df: DataFrame, id_col: str, text_col: str, **how) -> DataFrame:
             texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, texts), pa.int64()), pa.array([write_tiff(payload_of(t), **how) for t in texts], pa.binary())], names=["id", "n_bytes", "media"])
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_bytes long, media binary")
+    return rows.mapInArrow(tidy(run), f"id {rows.schema['id'].dataType.simpleString()}, n_bytes long, media binary")
 
 
 def features(pages: list[Page], payload: bytes) -> str:
@@ -378,4 +380,4 @@ def media_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             kinds = [pa.string() if "sha" in n or n == "feature" else pa.int64() for n in names]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=names)
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, DIGESTS)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(tidy(run), DIGESTS)

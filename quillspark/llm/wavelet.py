@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import save, tidy
 from .words import Words, classes, first_places, ragged
 
 BLOCK = 1 << 16
@@ -287,7 +287,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str =
             yield shard()
 
     ranged = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id")
-    return ranged.sortWithinPartitions("doc_id", "text").mapInArrow(run, SHARDS)
+    return ranged.sortWithinPartitions("doc_id", "text").mapInArrow(tidy(run), SHARDS)
 
 
 def read_documents(shards: DataFrame) -> DataFrame:
@@ -307,7 +307,7 @@ def read_documents(shards: DataFrame) -> DataFrame:
                     names=["shard", "doc_id", "inside", "n_tokens", "ids_crc32"],
                 )
 
-    rows = shards.select("first_doc", "seq", "file").mapInArrow(run, "shard string, doc_id long, inside long, n_tokens long, ids_crc32 long")
+    rows = shards.select("first_doc", "seq", "file").mapInArrow(tidy(run), "shard string, doc_id long, inside long, n_tokens long, ids_crc32 long")
     # one small row per shard of about two million ids; the files themselves do not move
     before = F.sum("n_tokens").over(Window.orderBy(F.col("first_doc").asc_nulls_first(), "seq").rowsBetween(Window.unboundedPreceding, -1))
     starts = shards.select(F.concat_ws(":", F.coalesce(F.col("first_doc").cast("string"), F.lit("None")), "seq").alias("shard"), F.coalesce(before, F.lit(0)).alias("base"))
