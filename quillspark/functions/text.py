@@ -27,7 +27,7 @@ SYNONYMS = {
 STOP_TOKENS = "get set the a an of for to by with from and or is do my new obj data value item result".split()
 # Words that shape control flow and stay in a body's skeleton.
 KEYWORDS = "if else for foreach while do switch case default break continue return throw try catch finally new await yield null true false this self typeof instanceof in of as is".split()
-NAME_CHARS, BODY_CHARS, SHINGLE = 200, 20_000, 4
+NAME_CHARS, SHINGLE = 200, 4
 
 #: A word boundary between ASCII word characters; Java's \b also knows others.
 EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
@@ -78,12 +78,13 @@ def name_tokens(c: str | Column) -> Column:
 # ------------------------------------------------------------------ bodies
 
 
-def skeleton_tokens(c: str | Column) -> Column:
-    """A body's control words and punctuation; names become X, literals disappear.
+def skeleton_tokens(c: str | Column, most: int | None = None) -> Column:
+    """A body's control words and punctuation; names become X, literals disappear. The
+    whole body counts, or its first ``most`` characters.
 
     Quoted literals are matched by unrolled possessive patterns: the plain alternation
     recurses in this engine, and a long literal would end the process."""
-    body = F.substring(text_of(c), 1, BODY_CHARS)
+    body = text_of(c) if most is None else F.substring(text_of(c), 1, most)
     for pattern, put in (
         (r"/\*[\s\S]*?\*/", " "),
         (r"(^|[^:])//[^\n]*", "$1 "),

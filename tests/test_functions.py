@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import config, paths, similarity, tasks, text
+from quillspark.plans import queries
 
 
 def one(spark, column):
@@ -34,6 +35,21 @@ def test_bodies(spark):
     assert one(spark, similarity.jaccard(grams("a"), grams("a"))) == 0.0
 
 
+def test_long_bodies_count_whole(spark):
+    body = "f(a); " * 5_000
+    tokens = lambda b, most=None: one(spark, text.skeleton_tokens(F.lit(b), most))
+    assert tokens(body) == ["X", "(", "X", ")", ";"] * 5_000
+    assert tokens(body + "if") != tokens(body + "else")
+    assert tokens(body, 20_000) == tokens(body[:20_000])
+
+
+def test_long_documents_have_whole_skeletons(spark, tmp_path):
+    long = "f(a); " * 5_000
+    spark.createDataFrame([(1, long + "if"), (2, long + "else")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.QUERIES["skeleton_tokens"](spark, str(tmp_path)).collect()
+    assert [r.n_tokens for r in got] == [25_001, 25_001] and len({r.skeleton for r in got}) == 2
+
+
 def test_signature_similarity(spark):
     score = lambda a, b: one(spark, similarity.signature_similarity(similarity.signature_shape(F.lit(a)), similarity.signature_shape(F.lit(b))))
     assert score("int F(int a)", "int F(int a, int b)") == 0.0
