@@ -10,9 +10,11 @@ from ..functions.paths import is_test_path
 FILE_CHARS = 200_000
 
 
-def corpus_of(files: DataFrame, path_col: str = "path", content_col: str = "content", most: int = FILE_CHARS) -> DataFrame:
-    """path and the first ``most`` characters of each test file."""
-    return files.where(is_test_path(path_col)).select(F.col(path_col).alias("path"), F.substring(content_col, 1, most).alias("content"))
+def corpus_of(files: DataFrame, path_col: str = "path", content_col: str = "content", most: int | None = None) -> DataFrame:
+    """path and the text of each test file, or its first ``most`` characters
+    (``FILE_CHARS`` in the model)."""
+    content = F.col(content_col) if most is None else F.substring(content_col, 1, most)
+    return files.where(is_test_path(path_col)).select(F.col(path_col).alias("path"), content.alias("content"))
 
 
 def corpus_words(corpus: DataFrame, content_col: str = "content") -> DataFrame:

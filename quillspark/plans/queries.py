@@ -231,7 +231,7 @@ SELECT name FROM n WHERE name {} (SELECT word FROM c)"""
 def _mentions(spark, sf_dir):
     words = F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9_]+"), F.lit(0)))
     names = table(spark, sf_dir, "benchmark").select(words.alias("name")).distinct()
-    corpus = table(spark, sf_dir, "documents").select(F.substring("text", 1, coverage.FILE_CHARS).alias("content"))
+    corpus = table(spark, sf_dir, "documents").select(F.col("text").alias("content"))
     return coverage.mention_split(names, corpus)
 
 

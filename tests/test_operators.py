@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.operators import budget, coverage, diff, lint, pairs, symbols, verdicts
-from quillspark.plans import checks, duplication
+from quillspark.plans import checks, duplication, queries
 from quillspark.sources import files, sinks
 from quillspark.streaming import upserts
 
@@ -101,6 +101,17 @@ def test_mentions(spark):
     assert (row.has_test_suite, row.covered, row.orphans) == (True, 1, 4)
 
 
+def test_mentions_at_the_end_of_long_texts(spark, tmp_path):
+    long = "x " * 150_000
+    spark.createDataFrame([(1, long + "LastWord")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "LastWord Nowhere")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    names = lambda q: [r.name for r in queries.QUERIES[q](spark, str(tmp_path)).collect()]
+    assert (names("mention_semi"), names("mention_anti")) == (["LastWord"], ["Nowhere"])
+    corpus = spark.createDataFrame([("tests/a.test.ts", long + "LastWord")], "path string, content string")
+    mentioned = lambda **cap: coverage.mention_split(spark.createDataFrame([("LastWord",)], "name string"), coverage.corpus_of(corpus, **cap)).first().covered
+    assert mentioned() and not mentioned(most=coverage.FILE_CHARS)
+
+
 def test_greedy_pack_skips_and_goes_on(spark, monkeypatch):
     monkeypatch.setattr(budget, "CHUNK", 2)
     rows = [("g", i, n) for i, n in enumerate([30, 80, 25, 40, 5, 200, 1])] + [(None, 0, 101), (None, 1, 100)]
