@@ -6,7 +6,9 @@ looks like (kinds of characters, repetition, hashed words) and what is known abo
 labelled rows, one per view. In every round both score all unlabelled documents, and
 the confident answers of each become pseudo-labels for the other, which is fitted
 again. An answer is confident if its probability is ``SURE`` and its odds are ``LIFT``
-times what labels in general say: a view that knows nothing teaches nothing. At the end each view is calibrated on labelled rows that neither was fitted
+times what labels in general say: a view that knows nothing teaches nothing, and the
+other is then fitted on its labelled rows alone (``taught`` of the model has the counts of
+pseudo-labels by round). At the end each view is calibrated on labelled rows that neither was fitted
 on, a logistic combination of the two calibrated log-odds is fitted on them, and all
 documents are scored.
 
@@ -123,6 +125,7 @@ class CoModel:
 
     def __init__(self, text: Logistic, meta: Logistic):
         self.views, self.scales, self.combined = (text, meta), None, None
+        self.taught: list[tuple[int, int]] = []  # pseudo-labels of the text's and the metadata's view, by round
 
     def fit_calibration(self, text: np.ndarray, meta: np.ndarray, y: np.ndarray) -> None:
         odds = [m.odds(x)[:, None] for m, x in zip(self.views, (text, meta))]
@@ -205,7 +208,9 @@ def co_train(features: DataFrame) -> CoModel | float:
             data.append((x[0], x[1], np.round(x[2])))
         from_text, from_meta = data
         fit = lambda v, found: Logistic(np.concatenate([(text, meta)[v][own], found[v]]), np.concatenate([y[own], found[2]]))
+        taught = [*model.taught, (len(from_text[2]), len(from_meta[2]))]
         model = CoModel(fit(0, from_meta), fit(1, from_text))
+        model.taught = taught
     if len(set(y[~own])) == 2:
         model.fit_calibration(text[~own], meta[~own], y[~own])
     return model

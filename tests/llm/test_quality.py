@@ -36,6 +36,15 @@ def test_held_out_accuracy(spark):
     assert {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.score >= 0.5}
 
 
+def test_counts_of_pseudo_labels(spark):
+    rows, truth = corpus()
+    labels = spark.createDataFrame([(i, truth[i], 0) for i in truth if i % 2], "doc_id long, quality int, toxic int")
+    taught = lambda rows: quality.co_train(quality.featured(spark.createDataFrame(rows, SCHEMA), labels, "doc_id", "text")).taught
+    # sources that say nothing of quality teach nothing, sources that tell it do
+    assert [(text > 0, meta) for text, meta in taught([(i, t, lang, s, None, x) for i, t, lang, s, _, x in rows])] == [(True, 0)] * quality.ROUNDS
+    assert all(text > 0 and meta > 0 for text, meta in taught([(i, t, lang, f"src{truth[i]}", None, x) for i, t, lang, _, _, x in rows]))
+
+
 def test_edges(spark):
     rows = [(None, None, None, None, None, ""), (1, "", "en", "s", 0, ""), (1, "", "en", "s", 0, ""), (2, "word " * 200_000, "en", "s", -5, ""), (3, "\0\x7fé", "", "", 1, "")]
     docs = spark.createDataFrame(rows, SCHEMA)
