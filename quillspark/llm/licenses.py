@@ -3,8 +3,9 @@
 Templates (licence notices) are indexed by their rarest words: word -> (template,
 position in it). The document frequency of every template word is counted over all
 files. For each file the occurrences of index words post (template, start); postings
-that agree on the start are intersected, and a start is accepted where the template's
-rare words meet there, the notice covers enough of its IDF weight at those positions
+that agree on the start are intersected. As many words are indexed, and as many of them
+must meet at a start, that no start is lost where the notice covers enough of its weight.
+A start is accepted where they meet, the notice covers enough of its IDF weight at those positions
 and its mandatory key phrases stand inside it. A template that is one phrase is
 accepted exactly where all its words stand.
 
@@ -48,7 +49,8 @@ NOTICES = [
     ("cc-by-4.0", "licensed under a creative commons attribution 4 0 international license", ["creative commons attribution 4 0"]),
     ("cc0-1.0", "dedicated to the public domain under cc0 1 0 universal", ["cc0"]),
 ]
-RARE = 3
+RARE = 3  # words indexed at least
+MEET = 2  # words that must meet at a start, where the notice has enough
 COVER = 0.75
 
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -89,6 +91,22 @@ def document_frequencies(docs: DataFrame, text_col: str, vocabulary: frozenset[b
     return counts.pop(b"", 0), counts
 
 
+def _indexed(weights: list[float]) -> tuple[int, int]:
+    """How many of a notice's words (weights falling) to index, and how many of these stand
+    at every start that covers enough: all but the most that may be lacking together."""
+    spare = (1 - COVER) * sum(weights) * (1 + 1e-9)
+    for n in range(min(RARE, len(weights)), len(weights) + 1):
+        lacking, lost = 0, 0.0
+        for w in reversed(weights[:n]):
+            lost += w
+            if lost > spare:
+                break
+            lacking += 1
+        if n - lacking >= MEET:
+            break
+    return n, n - lacking
+
+
 class Index:
     """The positional index over the templates, under the IDF of one corpus."""
 
@@ -99,10 +117,10 @@ class Index:
         self.weights, self.needed = [], []
         for number, t in enumerate(templates):
             self.weights.append([idf(w) for w in t.words])
-            rare = sorted(range(len(t.words)), key=lambda i: (-self.weights[-1][i], i))[: 1 if t.base else RARE]
-            # a start that lacks one rare word can still cover enough
-            self.needed.append(max(1, len(rare) - 1))
-            for i in rare:
+            order = sorted(range(len(t.words)), key=lambda i: (-self.weights[-1][i], i))
+            n, needed = (1, 1) if t.base else _indexed([self.weights[-1][i] for i in order])
+            self.needed.append(needed)
+            for i in order[:n]:
                 self.postings[t.words[i]].append((number, i))
         self.postings = dict(self.postings)
 

@@ -48,3 +48,26 @@ def test_a_changed_notice_still_covers(spark):
     index = licenses.Index(1000, {b"and": 900, b"the": 900, b"in": 800})
     found = index.places(licenses.words_of(text.encode()))
     assert [(index.templates[n].label, s) for n, s, _ in found] == [("bsd", 0)] and 0.75 <= found[0][2] < 1
+
+
+def test_every_place_that_covers_enough_is_found():
+    rng = random.Random(4)
+    counts = {w: rng.choice([0, 3, 30, 300, 900]) for t in licenses.TEMPLATES for w in t.words}
+    indexes = [licenses.Index(1000, counts), licenses.Index(1000, {}), licenses.Index(0, {})]
+    found = 0
+    for index in indexes:
+        for number, t in enumerate(index.templates):
+            if t.base:
+                continue
+            weights, order = index.weights[number], list(range(len(t.words)))
+            rare = sorted(order, key=lambda i: -weights[i])
+            for trial in range(60):
+                rng.shuffle(order)
+                words, left = list(t.words), 0.25 * sum(weights)
+                for i in rare if trial == 0 else order:  # words are lacking as long as enough is covered
+                    if weights[i] <= left:
+                        words[i], left = b"zzz", left - weights[i]
+                if all(licenses._holds(words, p) for p in t.phrases):
+                    found += 1
+                    assert (number, 0) in {(n, s) for n, s, _ in index.places(words)}, (t.label, words)
+    assert found > 200
