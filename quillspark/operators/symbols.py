@@ -106,12 +106,13 @@ def body_window(lines: str | Column, line: str | Column, most_lines: int = BODY_
     return F.array_join(F.aggregate(F.slice(col(lines), col(line), F.lit(most_lines)), start, step)["kept"], "\n")
 
 
-def symbol_index(files: DataFrame, path_col: str = "path", content_col: str = "content", most_chars: int = 400_000) -> DataFrame:
+def symbol_index(files: DataFrame, path_col: str = "path", content_col: str = "content", most_chars: int | None = None) -> DataFrame:
     """Exported symbols of files with their bodies: path, name, kind, line, signature,
-    body, ord. Files of other languages, of excluded paths or too large are left out
-    before any is split. Each file's lines stay in its row, so no join brings them back."""
+    body, ord. Files of other languages, of excluded paths or over ``most_chars`` (no
+    limit by default) are left out before any is split. Each file's lines stay in its row, so no join brings them back."""
     kept = files.select(F.col(path_col).alias("path"), F.col(content_col).alias("content")).withColumn("language", language_of("path"))
-    kept = kept.where(F.col("language").isNotNull() & ~is_excluded_path("path") & (F.length("content") <= most_chars))
+    kept = kept.where(F.col("language").isNotNull() & ~is_excluded_path("path"))
+    kept = kept if most_chars is None else kept.where(F.length("content") <= most_chars)
     kept = kept.withColumn("lines", F.split("content", "\n")).drop("content")
     found = F.transform("lines", lambda text, i: F.struct((i + 1).alias("line"), declared_symbol("language", text).alias("s")))
     component = F.struct(F.lit(1).alias("line"), F.struct(F.substring(component_name("path"), 1, NAME_CHARS).alias("name"), F.lit("component").alias("kind"), F.concat(F.lit("<"), F.substring(component_name("path"), 1, NAME_CHARS), F.lit(" />")).alias("signature"), F.lit(True).alias("exported")).alias("s"))
@@ -132,7 +133,7 @@ def introduced(added: DataFrame, index: DataFrame) -> DataFrame:
 
 def capped_index(files: DataFrame, most_files: int = 4_000, most_symbols: int = 120_000) -> tuple[DataFrame, bool]:
     """The index under capacities, files by path and then symbols in order, and whether it
-    is partial. Both caps are parameters; :func:`symbol_index` has none."""
+    is partial. Both caps are parameters; :func:`symbol_index` has none by default."""
     wanted = files.where(F.col("path").isNotNull() & language_of("path").isNotNull() & ~is_excluded_path("path")).orderBy("path").limit(most_files + 1)
     more_files = wanted.count() > most_files
     index = symbol_index(wanted.orderBy("path").limit(most_files)).orderBy("path", "ord").limit(most_symbols + 1)

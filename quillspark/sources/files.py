@@ -34,9 +34,10 @@ def is_regular_within(path: str | os.PathLike, root: str | os.PathLike) -> bool:
     return bool(inner.parts)
 
 
-def tree_files(spark: SparkSession, root: str, paths: list[str] | None = None, most_chars: int = 400_000) -> DataFrame:
+def tree_files(spark: SparkSession, root: str, paths: list[str] | None = None, most_chars: int | None = None) -> DataFrame:
     """path (inside the root), content, refused. A given listing is guarded on the driver;
-    contents are read by the executors, whole files of up to a size."""
+    contents are read by the executors, whole files of any size; with ``most_chars``, files
+    of more than four bytes for each are left out."""
     top = Path(root)
     listed = paths if paths is not None else sorted(str(p.relative_to(top)) for p in top.rglob("*") if ".git" not in p.parts and (p.is_symlink() or p.is_file()))
     good = [p for p in listed if is_regular_within(top / p, top)]
@@ -46,7 +47,8 @@ def tree_files(spark: SparkSession, root: str, paths: list[str] | None = None, m
     prefix = f"file:{top.resolve()}/"
     read = spark.read.text([f"file:{top.resolve() / p}" for p in good], wholetext=True).select(F.col("_metadata.file_path").alias("at"), F.col("_metadata.file_size").alias("size"), F.col("value").alias("content"))
     path = F.expr(f"substring(url_decode(replace(at, 'file:///', 'file:/')), {len(prefix) + 1})")
-    return read.where(F.col("size") <= 4 * most_chars).select(path.alias("path"), "content", F.lit(False).alias("refused")).unionByName(refused)
+    read = read if most_chars is None else read.where(F.col("size") <= 4 * most_chars)
+    return read.select(path.alias("path"), "content", F.lit(False).alias("refused")).unionByName(refused)
 
 
 def patches(spark: SparkSession, location: str) -> DataFrame:

@@ -54,6 +54,16 @@ def test_index_and_duplication_plan(spark):
     assert [(r.a, r.b, r.introduced_here, r.body_score) for r in found] == [("src/B.cs:2:SumFor", "src/A.cs:2:TotalOf", False, 1.0)]
 
 
+def test_large_files_are_indexed(spark, tmp_path):
+    content = "// " + "x" * 1_700_000 + "\nexport class Last {\n}\n"
+    df = spark.createDataFrame([("src/big.ts", content)], "path string, content string")
+    assert [r.name for r in symbols.symbol_index(df).collect()] == ["Last"]
+    assert symbols.symbol_index(df, most_chars=400_000).count() == 0
+    (tmp_path / "big.ts").write_text(content)
+    read = lambda **cap: files.tree_files(spark, str(tmp_path), ["big.ts"], **cap).select("path", F.length("content").alias("n")).collect()
+    assert [tuple(r) for r in read()] == [("big.ts", len(content))] and not read(most_chars=400_000)
+
+
 def random_sets(seed, n):
     rng = random.Random(seed)
     rows = []
