@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 _own_dir: list[str] = []
@@ -17,16 +18,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound what one Arrow batch holds, so very long texts cannot fill a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Bound what one Arrow batch holds, so very long texts cannot fill a worker. Plans
+    read the setting when they run, after their function has returned, so it stays; a
+    session's own smaller bound stands."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, str(rows))
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or an own
-    temporary one where the session names none (single-machine tests only)."""
+    temporary one where the session names none and runs on this machine alone."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
     if not _own_dir:
         _own_dir.append("file://" + tempfile.mkdtemp(prefix="quillspark-"))
     return _own_dir[0]
@@ -43,11 +51,32 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def drop(df: DataFrame) -> None:
-    """Delete a table made by :func:`save` that no later plan reads."""
-    spark, path = df.sparkSession, df._quill_path
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+def drop(*tables: DataFrame) -> None:
+    """Delete tables made by :func:`save` that no later plan reads."""
+    for df in tables:
+        spark, path = df.sparkSession, df._quill_path
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def quoted(name: str) -> str:
+    """A column's name as a reference, whatever characters it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def columns_of(df: DataFrame) -> list:
+    return [F.col(quoted(c)) for c in df.columns]
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, changed until none is a column of ``df`` (in any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

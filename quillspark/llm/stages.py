@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import save, small_batches, table
+from .common import columns_of, drop, fresh, save, small_batches, table
 from .queries import tokenizer_path
 
-#: Lists of keys up to this many rows are sent to all executors; longer ones are joined
-#: by shuffling.
+#: Lists of keys (one long each) up to this many rows are sent to all executors; longer
+#: ones are joined by shuffling.
 BROADCAST_ROWS = 1_000_000
 
 
 def sized(keys: DataFrame) -> DataFrame:
-    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys.hint("merge")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,9 +31,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     small_batches(spark)
     key = F.xxhash64("doc_id", "text", "lang", "source")
-    evidence = document_evidence(docs.withColumn("__key", key), train(docs, "text", "lang"), "__key", "text", "lang", "source")
-    rejected = save(fuse(evidence).where("language = 'und'").select(F.col("id").alias("__key")).distinct(), "rejected")
-    return docs.withColumn("__key", key).join(sized(rejected), "__key", "left_anti").select(*docs.columns)
+    rows = docs.select(key.alias("id"), "text", "lang", "source")
+    evidence = document_evidence(rows, train(docs, "text", "lang"), "id", "text", "lang", "source")
+    (name,) = fresh(docs, "rejected_key")
+    rejected = save(fuse(evidence).where("language = 'und'").select(F.col("id").alias(name)).distinct(), "rejected")
+    return docs.join(sized(rejected), key == rejected[name], "left_anti").select(*columns_of(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,14 +45,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     small_batches(spark)
     found = save(jaccard_classes(docs, width=5, percent=80), "components")
-    gone = found.where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(sized(save(gone, "gone")), "doc_id", "left_anti").select(*docs.columns)
+    gone = save(found.where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct(), "gone")
     twice = save(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
+    drop(found)
+    kept = docs.join(sized(gone), "doc_id", "left_anti").select(*columns_of(docs))
     if twice.isEmpty():
         return kept
     twice = sized(twice)
-    once = kept.join(twice, "doc_id", "left_anti").select(*docs.columns)
-    return once.unionByName(kept.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
+    once = kept.join(twice, "doc_id", "left_anti").select(*columns_of(docs))
+    return once.unionByName(kept.join(twice, "doc_id", "left_semi").select(*columns_of(docs)).dropDuplicates(["doc_id", "text"]))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
