@@ -5,9 +5,15 @@ uncompressed, PackBits, LZW and deflate strips or tiles, undoes the horizontal
 predictor and yields the samples of each page. The writer stores bytes losslessly as
 8-bit samples of pages ``WIDTH`` wide, in strips or tiles under any of these codecs.
 
+What a directory claims is checked before anything is allocated: fields must lie inside
+the file, the segments of a page must be as many as its size asks for, and a page
+must not unpack to more than ``MOST_PAGE`` bytes (a parameter) nor to more than the most that
+its codec can make of the segments' bytes.
+
 Defined results: a null medium has no page; a medium that cannot be read gives one row
 whose ``page`` is null and whose ``error`` says why (pages before the fault come
-first); a directory that is listed twice ends the walk; extra columns are not read.
+first); a directory that is listed twice ends the walk; extra columns, whatever their
+names, are not read.
 """
 
 from __future__ import annotations
@@ -23,14 +29,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidy
+from .common import quoted, tidy
 
 WIDTH = 64
+MOST_PAGE = 1 << 30
 PAGE_ROWS = 16_384
 STRIP_ROWS = 1_024
 # Fixed values of the TIFF 6.0 format: compression codes, field type sizes.
 NONE, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
 TYPE_BYTES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
+# The most bytes that a byte of each codec can stand for.
+MOST_RATIO = {NONE: 1, PACKBITS: 64, LZW: 4096, DEFLATE: 1040, OLD_DEFLATE: 1040}
 
 
 class TiffError(ValueError):
@@ -263,6 +272,8 @@ def directories(data: bytes) -> Iterator[tuple[str, dict[int, tuple]]]:
                 where = at + 10 + 12 * i
                 if size > 4:
                     (where,) = struct.unpack_from(order + "I", data, where)
+                if count == 0 or where + size > len(data):
+                    raise TiffError(f"directory: tag {tag} has {count} values at {where} of {len(data)} bytes")
                 if kind in (1, 3, 4):
                     fields[tag] = struct.unpack_from(f"{order}{count}{'_BxHI'[kind]}", data, where)
             yield order, fields
@@ -271,39 +282,48 @@ def directories(data: bytes) -> Iterator[tuple[str, dict[int, tuple]]]:
         raise TiffError(f"directory: {e}") from e
 
 
-def read_pages(data: bytes) -> Iterator[Page]:
+def read_pages(data: bytes, most_page: int = MOST_PAGE) -> Iterator[Page]:
     for number, (order, fields) in enumerate(directories(data)):
         one = lambda tag, default=None: fields.get(tag, (default,))[0]
         width, height, channels, bits = one(256), one(257), one(277, 1), one(258, 1)
         compression, predictor = one(259, 1), one(317, 1)
-        if not width or not height or bits not in (8, 16, 32) or len(set(fields.get(258, (8,)))) > 1:
-            raise TiffError(f"page {number}: {width} x {height} of {bits} bits")
+        if not width or not height or not channels or bits not in (8, 16, 32) or len(set(fields.get(258, (8,)))) > 1:
+            raise TiffError(f"page {number}: {width} x {height} x {channels} of {bits} bits")
         if predictor not in (1, 2) or (one(284, 1) != 1 and channels > 1):
             raise TiffError(f"page {number}: predictor {predictor}, planes {one(284, 1)}")
+        if compression not in MOST_RATIO:
+            raise TiffError(f"page {number}: compression {compression}")
         tiled = 324 in fields
         rows, cols = (one(323), one(322)) if tiled else (min(one(278, height), height), width)
         offsets, counts = (fields.get(324), fields.get(325)) if tiled else (fields.get(273), fields.get(279))
-        places = list(boxes(height, width, rows, cols)) if rows and cols else []
-        if not offsets or not counts or len(offsets) < len(places) or len(counts) < len(places):
+        n = -(-height // rows) * -(-width // cols) if rows and cols else 0
+        if not n or not offsets or not counts or len(offsets) < n or len(counts) < n:
             raise TiffError(f"page {number}: too few segments")
         kind = np.dtype(f"{order}u{bits // 8}")
+        pixel = channels * kind.itemsize
+        page_bytes, padded = height * width * pixel, n * rows * cols * pixel if tiled else height * width * pixel
+        if max(page_bytes, padded) > most_page or page_bytes > MOST_RATIO[compression] * sum(counts[:n]):
+            raise TiffError(f"page {number}: {page_bytes} bytes from {sum(counts[:n])} under compression {compression}")
         image = np.empty((height, width, channels), kind.newbyteorder("="))
-        for (y, x), offset, count in zip(places, offsets, counts):
+        for (y, x), offset, count in zip(boxes(height, width, rows, cols), offsets, counts):
+            if offset + count > len(data):
+                raise TiffError(f"page {number}: a segment at {offset} of {count} bytes in {len(data)}")
             high = rows if tiled else min(rows, height - y)
-            raw = decode_segment(data[offset : offset + count], compression, high * cols * channels * kind.itemsize)
+            raw = decode_segment(data[offset : offset + count], compression, high * cols * pixel)
             part = np.frombuffer(raw, kind).reshape(high, cols, channels).astype(image.dtype)
             if predictor == 2:
                 part = np.cumsum(part, axis=1, dtype=image.dtype)
             image[y : y + high, x : x + cols] = part[: height - y, : width - x]
-        yield Page(number, width, height, channels, bits, compression, predictor, len(places), image.tobytes())
+        yield Page(number, width, height, channels, bits, compression, predictor, n, image.tobytes())
 
 
 PAGES = "page int, width int, height int, channels int, bits int, compression int, predictor int, segments int, samples binary, error string"
 
 
-def tiff_pages(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
-    """One row per page of every medium: the id (as ``id``) and PAGES."""
-    rows = df.select(F.col(id_col).alias("id"), F.col(media_col).alias("media"))
+def tiff_pages(df: DataFrame, id_col: str, media_col: str, most_page: int = MOST_PAGE) -> DataFrame:
+    """One row per page of every medium: the id (as ``id``) and PAGES. A medium's pages
+    follow each other, in the order of the media."""
+    rows = df.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(media_col)).alias("media"))
     kind = rows.schema["id"].dataType
     names = ["id", *(x.split()[0] for x in PAGES.split(", "))]
     types = [None, *[pa.int32()] * 8, pa.binary(), pa.string()]
@@ -313,7 +333,7 @@ def tiff_pages(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
             for key, media in zip(batch.column(0), batch.column(1).to_pylist()):
                 if media is None:
                     continue
-                found = read_pages(media)
+                found = read_pages(media, most_page)
                 while True:
                     try:
                         p = next(found, None)
@@ -334,50 +354,85 @@ def payload_of(text: bytes) -> bytes:
     return text + b"\0" * (-len(text) % WIDTH if text else WIDTH)
 
 
-def tiff_column(df: DataFrame, id_col: str, text_col: str, **how) -> DataFrame:
-    """Whole texts as media: the id (as ``id``), n_bytes, media."""
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+def by_text(text: bytes) -> dict:
+    """How to write a text's medium: codec, predictor, byte order, strips or tiles and the
+    size of pages, by a checksum of the text, so every way is taken and equal texts agree."""
+    draw = zlib.crc32(text)
+    draw ^= draw >> 15
+    return {
+        "compression": (DEFLATE, LZW, PACKBITS, NONE)[draw & 3],
+        "predictor": 1 + (draw >> 2 & 1),
+        "tile": (0, 0, 16, 32)[draw >> 3 & 3],
+        "order": "<>"[draw >> 5 & 1],
+        "page_rows": (PAGE_ROWS, 256, 48)[(draw >> 6) % 3],
+        "strip_rows": (STRIP_ROWS, 100)[draw >> 9 & 1],
+    }
+
+
+def tiff_column(df: DataFrame, id_col: str, text_col: str, how=None, **same) -> DataFrame:
+    """Whole texts as media: the id (as ``id``), n_bytes, media. ``how`` tells from a text how
+    its medium is written (see :func:`by_text`); else all are written in the same way."""
+    rows = df.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"))
 
     def run(batches):
         for batch in batches:
-            texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, texts), pa.int64()), pa.array([write_tiff(payload_of(t), **how) for t in texts], pa.binary())], names=["id", "n_bytes", "media"])
+            ids, texts = batch.column(0), [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            for at in range(0, len(texts), 100):
+                part = texts[at : at + 100]
+                media = [write_tiff(payload_of(t), **(how(t) if how else same)) for t in part]
+                yield pa.RecordBatch.from_arrays([ids[at : at + 100], pa.array(map(len, part), pa.int64()), pa.array(media, pa.binary())], names=["id", "n_bytes", "media"])
 
     return rows.mapInArrow(tidy(run), f"id {rows.schema['id'].dataType.simpleString()}, n_bytes long, media binary")
 
 
 def features(pages: list[Page], payload: bytes) -> str:
     """Pages, rows, segments, distinct bytes, mean byte and mean step along a row (in
-    thousandths, rounded down), and the counts of the eight 32-wide bands of bytes."""
+    thousandths, rounded down), the counts of the eight 32-wide bands of bytes, and the codec
+    and predictor of the first page."""
     image = np.frombuffer(payload, np.uint8)
     counts = np.bincount(image, minlength=256)
     step = np.abs(np.diff(image.reshape(-1, WIDTH).astype(np.int16), axis=1)).sum(dtype=np.int64)
     n = len(image)
     bands = "/".join(map(str, counts.reshape(8, 32).sum(axis=1)))
     mean = int((counts * np.arange(256)).sum())
-    return f"pages={len(pages)};rows={n // WIDTH};segments={sum(p.segments for p in pages)};distinct={int((counts > 0).sum())};mean={mean * 1000 // n};step={int(step) * 1000 // (n // WIDTH * (WIDTH - 1))};bands={bands}"
+    return f"pages={len(pages)};rows={n // WIDTH};segments={sum(p.segments for p in pages)};distinct={int((counts > 0).sum())};mean={mean * 1000 // n};step={int(step) * 1000 // (n // WIDTH * (WIDTH - 1))};bands={bands};codec={pages[0].compression};predictor={pages[0].predictor}"
 
 
 DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def media_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """Store each text as a TIFF, read its pages back, and digest what was read. The
-    writer and the reader run in one pass over a row, so no medium is shuffled."""
+def media_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", how=None, **same) -> DataFrame:
+    """Store each text as a TIFF, read its pages back, one row per page, and digest what was
+    read. Writer, reader and digest follow each other in one task, so a medium's pages come
+    together and nothing is shuffled; a medium that cannot be read ends the task."""
     names = [x.split()[0] for x in DIGESTS.split(", ")]
+    media = tiff_column(docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).alias("text")), "doc_id", "text", how, **same)
+    # every row is its own medium, whatever its id
+    known = F.struct(F.monotonically_increasing_id().alias("row"), F.col("id").alias("doc_id"), "n_bytes", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"))
+    pages = tiff_pages(media.select(known.alias("known"), "media"), "known", "media")
 
     def run(batches):
-        for batch in batches:
-            out = [[] for _ in names]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
-                text = text or b""
-                media = write_tiff(payload_of(text), **how)
-                pages = list(read_pages(media))
-                payload = b"".join(p.samples for p in pages)
-                row = (doc_id, len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), features(pages, payload))
-                for column, value in zip(out, row):
-                    column.append(value)
-            kinds = [pa.string() if "sha" in n or n == "feature" else pa.int64() for n in names]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=names)
-
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(tidy(run), DIGESTS)
+        import itertools
+
+        def rows():
+            for batch in batches:
+                columns = [batch.column(i) for i in range(batch.num_columns)]
+                for i in range(batch.num_rows):
+                    yield tuple(c[i].as_py() for c in columns)
+
+        def digests():
+            for _, group in itertools.groupby(rows(), lambda r: r[0]["row"]):
+                group = list(group)
+                known, error = group[0][0], group[-1][-1]
+                if error:
+                    raise TiffError(error)
+                found = [Page(*r[1:-1]) for r in group]
+                payload = b"".join(p.samples for p in found)
+                yield (known["doc_id"], known["n_bytes"], len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), known["media_bytes"], known["media_sha256"], features(found, payload))
+
+        kinds = [pa.string() if "sha" in n or n == "feature" else pa.int64() for n in names]
+        each = digests()
+        while part := list(itertools.islice(each, 500)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), kinds)], names=names)
+
+    return pages.mapInArrow(tidy(run), DIGESTS)

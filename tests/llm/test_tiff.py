@@ -85,3 +85,39 @@ def test_digests(spark):
     media = {r.id: bytes(r.media) for r in tiff.tiff_column(df, "doc_id", "text").collect()}
     assert all(hashlib.sha256(media[i]).hexdigest() == got[i].media_sha256 and len(media[i]) == got[i].media_bytes for i in media)
     assert tiff.media_digests(df.limit(0)).count() == 0
+
+
+def directory(*fields, tail=b""):
+    out = b"II*\0" + struct.pack("<I", 8) + struct.pack("<H", len(fields))
+    return out + b"".join(struct.pack("<HHII", *f) for f in fields) + b"\0\0\0\0" + tail
+
+
+def test_hostile_directories(spark):
+    """Claims that no file can hold give an error row, before anything is allocated."""
+    sound = [(256, 4, 1, 64), (257, 4, 1, 4), (258, 3, 1, 8), (259, 3, 1, 8), (273, 4, 1, 8), (278, 4, 1, 4), (279, 4, 1, 20)]
+    put = lambda **other: [(t, k, *other.get(f"t{t}", (n, v))) for t, k, n, v in sound]
+    media = [
+        directory(*put(t257=(0, 0))), directory(*put(t256=(1, 1 << 20), t257=(1, 1 << 20), t278=(1, 1 << 20))), directory(*put(t273=(1 << 30, 8))), directory(*put(t279=(1, 1 << 31))),
+        directory(*put(t256=(1, 0))), directory(*put(t278=(1, 0))), directory(*put(t259=(1, 7))), directory(*put(t257=(1, 1 << 30))), directory((322, 4, 1, 1 << 16), (323, 4, 1, 1 << 16), (324, 4, 1, 8), (325, 4, 1, 90), *put()),
+        directory((277, 3, 1, 0), *put()), b"II*\0\x08\0\0\0\xff\xff", b"", b"MM\0*\0\0\0\x08",
+    ]
+    df = spark.createDataFrame([(i, m) for i, m in enumerate(media)], "id long, media binary")
+    got = tiff.tiff_pages(df, "id", "media").collect()
+    assert sorted(r.id for r in got) == list(range(len(media))) and all(r.page is None and r.error for r in got)
+
+
+def test_query_takes_every_codec_and_layout(spark):
+    rows = [(i, f"text {i} " * (i % 900)) for i in range(300)] + [(None, None), (7, ""), (7, ""), (8, "é" * 200_000)]
+    df = spark.createDataFrame([(*r, "clash", 1) for r in rows], "`doc.id` long, text string, media string, id int")
+    got = tiff.media_digests(df, "doc.id", how=tiff.by_text).collect()
+    assert len(got) == len(rows)
+    expected = sorted((-1 if i is None else i, len((t or "").encode()), hashlib.sha256(tiff.payload_of((t or "").encode())).hexdigest()) for i, t in rows)
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.payload_sha256) for r in got) == expected
+    ways = {tuple(tiff.by_text((t or "").encode()).values()) for _, t in rows}
+    assert {w[0] for w in ways} == {tiff.NONE, tiff.LZW, tiff.DEFLATE, tiff.PACKBITS} and {w[1] for w in ways} == {1, 2} and {w[2] for w in ways} == {0, 16, 32}
+    assert max(int(r.feature.split(";")[0][6:]) for r in got) > 3
+    for r in got:
+        text = next((t or "").encode() for i, t in rows if i == r.doc_id and len((t or "").encode()) == r.n_bytes)
+        media = tiff.write_tiff(tiff.payload_of(text), **tiff.by_text(text))
+        assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+        assert r.tail_crc32 == zlib.crc32(tiff.payload_of(text)[-64:])
