@@ -43,3 +43,37 @@ def test_repeated_rows_and_null_ids(spark):
     c = spark.createDataFrame([(1, "http://x.org/", DAY), (1, "http://x.org/", DAY), (None, "http://x.org/", DAY)], "page_id long, url string, fetched date")
     e = spark.createDataFrame([("X.org", DAY, "block"), ("X.org", DAY, "clear")], "domain string, since date, action string")
     assert [r.blocked for r in url_lists.evaluate(c, e, "page_id", "url", "fetched").collect()] == [True] * 3
+
+
+def test_names_of_entries_agree_in_any_case(spark):
+    c = spark.createDataFrame([(1, "http://example.net/", DAY + timedelta(40)), (2, "http://example.net/", DAY)], "page_id long, url string, fetched date")
+    e = spark.createDataFrame([("Example.net", DAY, "block"), ("example.net.", DAY + timedelta(31), "clear")], "domain string, since date, action string")
+    spans = {r.since: r.until for r in url_lists.intervals(e).collect()}
+    assert spans == {DAY: DAY + timedelta(31), DAY + timedelta(31): None}
+    assert {r.id: r.blocked for r in url_lists.evaluate(c, e, "page_id", "url", "fetched").collect()} == {1: False, 2: True}
+
+
+def test_hot_domains_are_dealt_out(spark):
+    """One suffix holds every capture; its probes go to several parts, with the same result."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(8)
+    captures = [(i, f"http://h{rng.randrange(40)}.com/", DAY + timedelta(rng.randrange(60))) for i in range(600)]
+    entries = [("com", DAY + timedelta(d), a) for d, a in ((3, "block"), (9, "clear"), (30, "block"))] + [(f"h{i}.com", DAY + timedelta(rng.randrange(60)), rng.choice(["block", "clear"])) for i in range(20)]
+    c = spark.createDataFrame([(*x, 1, 2) for x in captures], "page_id long, `ur.l` string, fetched date, domain int, part int")
+    e = spark.createDataFrame(entries, "domain string, since date, action string")
+    expected = brute(captures, entries)
+    for parts in (1, 4, 500):
+        got = {r.id: (r.host, r.blocked, r.by_domain, r.since) for r in url_lists.evaluate(c, e, "page_id", "ur.l", "fetched", parts).collect()}
+        assert got == expected
+    probes = c.select(F.lit("com").alias("domain"), F.col("fetched").alias("at"), "page_id")
+    met = url_lists.as_of(probes, url_lists.intervals(e), 8)
+    assert met.count() == sum(at >= DAY + timedelta(3) for _, _, at in captures)
+
+
+def test_times_of_day(spark):
+    from datetime import datetime
+
+    c = spark.createDataFrame([(1, "http://a.x.org", datetime(2024, 1, 2, 12)), (2, "http://a.x.org", datetime(2024, 1, 1, 1))], "page_id long, url string, fetched timestamp")
+    e = spark.createDataFrame([("x.org", DAY + timedelta(1), "block")], "domain string, since date, action string")
+    assert {r.id: r.blocked for r in url_lists.evaluate(c, e, "page_id", "url", "fetched").collect()} == {1: True, 2: False}
