@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import save, tidy
+from .common import quoted, save, tidy
 
 LANGUAGES = ("de", "en", "es", "fr")
 BUCKETS = 4096
@@ -63,7 +63,7 @@ def train(docs: DataFrame, text_col: str, lang_col: str, languages: tuple[str, .
                     counts[languages.index(lang)] += trigrams(text)
         yield pa.RecordBatch.from_arrays([pa.array(range(len(languages)), pa.int32()), pa.array(counts.tolist(), pa.list_(pa.int64()))], names=["lang", "counts"])
 
-    known = docs.where(F.col(lang_col).isin(*languages)).select(lang_col, text_col)
+    known = docs.where(F.col(quoted(lang_col)).isin(*languages)).select(F.col(quoted(lang_col)), F.col(quoted(text_col)))
     cells = known.mapInArrow(tidy(run), "lang int, counts array<long>").select("lang", F.posexplode("counts").alias("bucket", "n"))
     counts = np.full((len(languages), BUCKETS), 0.5)
     for lang, bucket, n in cells.groupBy("lang", "bucket").agg(F.sum("n")).collect():  # languages x buckets at most
@@ -134,11 +134,57 @@ def fuse(evidence: DataFrame, languages: tuple[str, ...] = LANGUAGES, floor: flo
 
 # ------------------------------------------------------------------ pages and documents
 
-_DROP = re.compile(rb"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
-_DECLARED = re.compile(rb"<html\b[^>]*?\slang\s*=\s*[\"']?([A-Za-z_-]+)", re.I)
+_HIDDEN = re.compile(rb"<(script|style)\b", re.I)
+_CLOSED = {name: re.compile(rb"</" + name + rb"\s*>", re.I) for name in (b"script", b"style")}
+_ROOT = re.compile(rb"<html\b", re.I)
+_LANG = re.compile(rb"\slang\s*=\s*[\"']?([A-Za-z_-]+)", re.I)
 _URL = re.compile(r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)[^/?#]*(?:/([A-Za-z]{2})(?=[/?#]|$))?")
 
 
+def visible(html: bytes) -> bytes:
+    """The text of a page: scripts and styles with what they hold, comments and tags become
+    a space; what is never closed is text, but for the tag that opens a script or style.
+
+    One scan forward: an end that is once not found is not looked for again."""
+    out, at, missing = [], 0, set()
+    while (opened := html.find(b"<", at)) >= 0:
+        out.append(html[at:opened])
+        end = -1
+        hidden = _HIDDEN.match(html, opened)
+        if hidden and (name := hidden[1].lower()) not in missing:
+            closed = _CLOSED[name].search(html, hidden.end())
+            if closed:
+                end = closed.end()
+            else:
+                missing.add(name)
+        elif html.startswith(b"<!--", opened) and b"--" not in missing:
+            end = html.find(b"-->", opened + 4) + 3
+            if end == 2:
+                missing.add(b"--")
+                end = -1
+        if end < 0:
+            end = html.find(b">", opened + 1) + 1
+            if not end:  # no tag can end any more
+                at = opened
+                break
+        out.append(b" ")
+        at = end
+    out.append(html[at:])
+    return b"".join(out)
+
+
+def declared_language(html: bytes) -> str | None:
+    """What the first ``html`` tag with a language declares; each tag is read once."""
+    at = 0
+    while root := _ROOT.search(html, at):
+        end = html.find(b">", root.end())
+        end = len(html) if end < 0 else end
+        if found := _LANG.search(html, root.end(), end):
+            return found[1].decode()
+        at = end
+    return None
+
+
 def address_of(url: str | None) -> tuple[str | None, str | None, str | None]:
     """Suggested language, host and domain (its last two labels) of an address."""
     m = _URL.match(url or "")
@@ -163,11 +209,10 @@ def page_evidence(pages: DataFrame, model: np.ndarray, id_col: str = "page_id",
             rows = []
             for page_id, url, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist()):
                 html = html or b""
-                declared = _DECLARED.search(html)
-                rows.append((page_id, likelihoods(_DROP.sub(b" ", html), model), declared[1].decode() if declared else None, *address_of(url)))
+                rows.append((page_id, likelihoods(visible(html), model), declared_language(html), *address_of(url)))
             yield _batch(rows)
 
-    return pages.select(F.col(id_col).cast("long"), url_col, html_col).mapInArrow(tidy(run), EVIDENCE_SCHEMA)
+    return pages.select(F.col(quoted(id_col)).cast("long"), F.col(quoted(url_col)), F.col(quoted(html_col))).mapInArrow(tidy(run), EVIDENCE_SCHEMA)
 
 
 def document_evidence(docs: DataFrame, model: np.ndarray, id_col: str, text_col: str, lang_col: str, source_col: str) -> DataFrame:
@@ -179,4 +224,4 @@ def document_evidence(docs: DataFrame, model: np.ndarray, id_col: str, text_col:
             rows = [(d, likelihoods(t or b"", model), lang, None, s, s) for d, t, lang, s in zip(ids.to_pylist(), texts.cast(pa.binary()).to_pylist(), langs.to_pylist(), sources.to_pylist())]
             yield _batch(rows)
 
-    return docs.select(F.col(id_col).cast("long"), text_col, F.col(lang_col).cast("string"), F.col(source_col).cast("string")).mapInArrow(tidy(run), EVIDENCE_SCHEMA)
+    return docs.select(F.col(quoted(id_col)).cast("long"), F.col(quoted(text_col)), F.col(quoted(lang_col)).cast("string"), F.col(quoted(source_col)).cast("string")).mapInArrow(tidy(run), EVIDENCE_SCHEMA)

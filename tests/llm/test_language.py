@@ -64,3 +64,21 @@ def test_addresses():
     assert language.address_of("https://u@Blog.Example.co.uk:8/de/x") == ("de", "blog.example.co.uk", "co.uk")
     assert language.address_of("http://a.fr/about") == ("fr", "a.fr", "a.fr")
     assert language.address_of("http://a.com") == (None, "a.com", "a.com") and language.address_of(None) == (None, None, None)
+
+
+def test_pages_are_read_by_one_scan():
+    import re
+    import time
+
+    plain = re.compile(rb"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
+    cases = [b"", b"a<b", b"<p>x</p>", b"a<script x>var '<p>'</script >b<style>q", b"<!-- a > b -->c<!-- never", b"<scripts>x</scripts>", b"<SCRIPT>x</script>y<!---->z", b"1 < 2 > 3 <", b"<style>a</script></style>b<script>c", b"<<p>>", b"<!-->x-->y"]
+    for case in cases:
+        assert language.visible(case) == plain.sub(b" ", case), case
+    start = time.time()
+    for part in (b"<script ", b"<script>", b"<!-- ", b"<", b"<style></script>", b"<html ", b"<html lang", b"</", b"<a>"):
+        hostile = part * (4_000_000 // len(part))
+        language.visible(hostile)
+        language.declared_language(hostile)
+    assert time.time() - start < 30
+    assert language.declared_language(b"<HTML><html class=x lang='pt-BR'>") == "pt-BR" and language.declared_language(b"<htmlx lang=de><html lang=fr") == "fr"
+    assert language.declared_language(b"<p lang=de>") is None
