@@ -91,3 +91,45 @@ def test_mix_returns_rows_as_often_as_taken(spark):
         if n and (i, s, n) != (5, "src3", 2):
             assert seen[i, s, n] == plan[i, s, n]
     assert mixing.mix(df.limit(0)).count() == 0 and mixing.mix_report(df.limit(0)).count() == 0
+
+
+def test_repeated_rows_meet_the_target(spark, monkeypatch):
+    """A source of 1,000 equal rows takes as many of them as its target asks for."""
+    monkeypatch.setattr(mixing, "RUN", 300)
+    rows = [(None, " ".join(["w"] * 10), "en", "a", 1)] * 1000 + [(i, "w " * 10, "en", "b", i) for i in range(700)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    report = mixing.mix_report(df).collect()
+    target, taken = {r.source_size: r.target for r in report}, defaultdict(int)
+    assert len(report) == 1700
+    for r in report:
+        taken[r.source_size] += r.taken
+    for size, words in taken.items():
+        assert abs(words - target[size]) <= 20
+    mixed = mixing.mix(df.withColumnRenamed("lang", "la.ng"))
+    assert mixed.columns == ["doc_id", "text", "la.ng", "source", "n_chars"]
+    seen = mixed.groupBy("source").count().collect()
+    assert {r["source"]: r["count"] * 10 for r in seen} == {"a": taken[10_000], "b": taken[7_000]}
+
+
+def test_clashing_columns_stay(spark):
+    rows = corpus(200, 3)
+    df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "100 + doc_id % 6 as __size", "doc_id as p_size", "doc_id as __copies", "1 as copy", "2 as number", "doc_id as shift", "'x' as place")
+    plain = sorted(map(str, mixing.mix(spark.createDataFrame(rows, SCHEMA)).select("doc_id", "source").collect()))
+    out = mixing.mix(df)
+    assert out.columns == df.columns
+    got = out.collect()
+    assert sorted(f"Row(doc_id={r.doc_id}, source={r.source!r})" for r in got) == plain
+    assert all(r["__size"] == (None if r.doc_id is None else 100 + r.doc_id % 6) and r["p_size"] == r["__copies"] == r["shift"] == r.doc_id for r in got)
+
+
+def test_by_shuffling(spark, monkeypatch):
+    df = spark.createDataFrame(corpus(200, 6), SCHEMA)
+    small = sorted(map(str, mixing.mix(df).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", -1)
+    assert sorted(map(str, mixing.mix(df).collect())) == small
+
+
+def test_very_long_text(spark):
+    df = spark.createDataFrame([(1, "w " * 2_000_000, "en", "a", 1), (2, "w", "en", "a", 1)], SCHEMA)
+    got = {r.doc_id: r for r in mixing.mix_report(df).collect()}
+    assert got[1].size == 2_000_000 and got[1].taken <= 4_000_000
