@@ -1,22 +1,33 @@
 """Approximate nearest neighbours: inverted file, product-quantised residuals, rerank.
 
-Coarse centroids and the codebooks of the residuals are fitted on a bounded sample;
-every vector is indexed: its list is that of its nearest centroid, its code the nearest
-codeword in each slice of its residual. A query probes the nearest ``share`` of the
-lists. It fills one table of its products with all codewords; with what a list adds to
+Coarse centroids and the codebooks of the residuals are fitted on a bounded sample; the
+number of centroids grows with the vectors (twice the root of their number, up to an
+eighth of the sample). Every vector is indexed: its list is that of its nearest centroid,
+its code the nearest codeword in each slice of its residual. How many lists a query
+probes is measured: the true neighbours of ``TRIALS`` queries are found in one pass over all
+vectors, and the nearest lists that hold ``AIM`` of them are as many as are probed. Where
+vectors have structure these are few and their share falls as lists become more; where
+they have none no inverted file can leave much out.
+
+A query fills one table of its products with all codewords; with what a list adds to
 them, a code's table entries sum to the query's distance from the coded vector
 (asymmetric distance). The ``keep`` best over all lists are measured again on the
 original vectors, in double precision.
 
-Lists are dealt to shelves of about ``BLOCK`` vectors, large ones in several parts, so a
-list that holds a third of all vectors is many tasks' work. A query visits the shelves
-that hold its lists; each sends back its best few in one row.
+Lists are dealt to shelves of about ``BLOCK`` vectors, lists of near centroids together, large
+lists in several parts, and the visitors of a shelf to blocks of about ``VISITORS`` queries. A
+task scans one shelf for one block, whatever the table's size. Of a shelf only what is nearer
+than a bound of the query's own returns: the distance from its so-manieth nearest
+sampled vector, chosen so that somewhat more than ``keep`` of all vectors should be nearer.
+The best of each shelf are merged by shelves of a row first, then over these.
 
 Defined results: vectors that are null, zero, of another length than most, or that hold
 a null, NaN or infinite component take no part, as queries or candidates; equal
 vectors rank by vec_id; where the probed lists hold fewer than ``k`` vectors a query gets
-those; rows with a null id take no part; an id that stands on several vectors is
-measured at each of them.
+those; rows with a null id take no part; an id on several rows is as many queries and
+candidates, of which a query leaves out only its own row; extra columns, whatever their
+names, are not read. ``probed`` (lists of each query), ``lists`` and ``recall`` (the share of
+the trial queries' true neighbours that the answer has) are the same in every row.
 """
 
 from __future__ import annotations
@@ -26,18 +37,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import save, tidy
+from .common import drop, quoted, save, tidy
+from .words import ragged
 
-SAMPLE = 20_000  # centroids and codebooks are fitted on about so many vectors
+SAMPLE = 65_536  # centroids and codebooks are fitted on about so many vectors
+TRIALS = 128  # queries whose true neighbours are found, to tell how many lists to probe
+AIM = 0.985  # share of these neighbours that the probed lists hold
 BLOCK = 16_384
+VISITORS = 4_096
 SLICES = 16
+TASTED = 16_384  # sampled vectors that a query is held against for its bound
 CODEWORDS = 256
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """id, v (array<double>) of the vectors that take part."""
-    v = F.col(vec_col).cast("array<double>")
-    rows = df.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where("id is not null and v is not null")
+    v = F.col(quoted(vec_col)).cast("array<double>")
+    rows = df.select(F.col(quoted(id_col)).cast("long").alias("id"), v.alias("v")).where("id is not null and v is not null")
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return rows.where(~F.coalesce(bad, F.lit(False)) & F.exists("v", lambda x: x != 0))
 
@@ -62,16 +78,39 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.concatenate([np.argmax(x[i : i + 4096] @ centres.T - half, axis=1) for i in range(0, len(x), 4096)] or [np.empty(0, np.int64)])
 
 
+def in_order(centres: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """The centroids so that near ones follow each other: sorted by halving along the widest
+    direction."""
+    out, open_ = [], [np.arange(len(centres))]
+    while open_:
+        part = open_.pop()
+        if len(part) <= 2:
+            out.append(part)
+            continue
+        x = centres[part] - centres[part].mean(axis=0)
+        axis = rng.standard_normal(x.shape[1])
+        for _ in range(5):  # the direction of the most variance, roughly
+            axis = x.T @ (x @ axis)
+            axis /= max(np.linalg.norm(axis), 1e-300)
+        order = part[np.argsort(x @ axis, kind="stable")]
+        open_ += [order[len(order) // 2 :], order[: len(order) // 2]]
+    return centres[np.concatenate(out)]
+
+
 class Quantiser:
     """Coarse centroids and residual codebooks; all of a bounded size."""
 
-    def __init__(self, sample: np.ndarray, seed: int = 11):
+    def __init__(self, sample: np.ndarray, lists: int, seed: int = 11):
         rng = np.random.default_rng(seed)
         self.dim = sample.shape[1]
-        self.centres = k_means(sample, max(1, min(1024, int(2 * len(sample) ** 0.5))), 8, rng)
+        self.centres = in_order(k_means(sample, max(1, min(lists, len(sample) // 8)), 8, rng), rng)
         rest = sample - self.centres[nearest(sample, self.centres)]
         self.cuts = np.linspace(0, self.dim, min(SLICES, self.dim) + 1).astype(int)
         self.books = [k_means(rest[:, a:b], CODEWORDS, 6, rng) for a, b in zip(self.cuts, self.cuts[1:])]
+        lists, codes = self.encode(sample)
+        near = rng.choice(len(sample), min(len(sample), TASTED), replace=False)
+        self.tasted = lists[near], codes[near].astype(np.int64) + np.arange(codes.shape[1]) * CODEWORDS
+        self.tasted_added = self.added(*self.tasted)
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         lists = nearest(x, self.centres)
@@ -79,11 +118,21 @@ class Quantiser:
         codes = [nearest(rest[:, a:b], book) for a, b, book in zip(self.cuts, self.cuts[1:], self.books)]
         return lists, np.stack(codes, axis=1).astype(np.uint8)
 
-    def probed(self, x: np.ndarray, share: float) -> np.ndarray:
-        n = min(len(self.centres), max(32, int(np.ceil(share * len(self.centres)))))
+    def probed(self, x: np.ndarray, n: int | None = None) -> np.ndarray:
+        """The n nearest lists of each row, nearest first."""
         distance = (self.centres**2).sum(axis=1) - 2 * (x @ self.centres.T)
         return np.argsort(distance, axis=1, kind="stable")[:, :n]
 
+    def bound(self, query: np.ndarray, products: np.ndarray, total: int, keep: int) -> float:
+        """A coded distance within which about ``keep`` of all vectors, and some more, lie."""
+        lists, places = self.tasted
+        due = keep * len(lists) / max(total, 1)
+        rank = int(due + 4 * due**0.5 + 16)
+        if rank >= len(lists):
+            return np.inf
+        distance = ((self.centres - query) ** 2).sum(axis=1)[lists] + self.tasted_added + products[places].sum(axis=1)
+        return float(np.partition(distance, rank)[rank])
+
     def products(self, query: np.ndarray) -> np.ndarray:
         """-2 query . codeword for every slice and codeword."""
         out = np.zeros((len(self.books), CODEWORDS))
@@ -108,79 +157,160 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def neighbours(vectors: DataFrame, id_col: str, vec_col: str, is_query, k: int = 10, share: float = 0.7, keep: int = 200) -> DataFrame:
-    """query_id, rank, vec_id, score of each query's k nearest found. is_query: a
-    condition on the column ``id``."""
+def _true_neighbours(good: DataFrame, trials: np.ndarray, own: np.ndarray, k: int, quantiser) -> list:
+    """(query number, row, list) of the k nearest of each trial query, by one pass over all
+    vectors: each task keeps k a query, and these meet by query."""
+
+    def run(batches):
+        best = [(np.empty(0), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64))] * len(trials)
+        half = (trials**2).sum(axis=1)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows, ids, x = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _matrix(batch.column(2), trials.shape[1])
+            lists = nearest(x, quantiser.value.centres)
+            distance = half[:, None] - 2 * trials @ x.T + (x * x).sum(axis=1)
+            distance[rows[None, :] == own[:, None]] = np.inf
+            for q in range(len(trials)):
+                at = np.flatnonzero(distance[q] < np.inf)
+                at = at[np.argpartition(distance[q, at], k - 1)[:k]] if len(at) > k else at
+                d, i, r, w = (np.concatenate(pair) for pair in zip(best[q], (distance[q, at], ids[at], rows[at], lists[at])))
+                first = np.lexsort((r, i, d))[:k]
+                best[q] = d[first], i[first], r[first], w[first]
+        for q, (d, i, r, w) in enumerate(best):
+            if len(d):
+                yield pa.RecordBatch.from_arrays([pa.array([q] * len(d), pa.int32()), pa.array(d), pa.array(i), pa.array(r), pa.array(w, pa.int32())], names=["q", "d", "id", "row", "list"])
+
+    found = good.mapInArrow(tidy(run), "q int, d double, id long, row long, list int")
+    first = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("d", "id", "row"))).where(F.col("r") <= k)
+    return first.select("q", "row", "list").collect()  # TRIALS x k rows
+
+
+def _lists_to_probe(quantiser: Quantiser, trials: np.ndarray, truth: list) -> int:
+    """So many nearest lists hold ``AIM`` of the trial queries' true neighbours."""
+    ranks = np.argsort(quantiser.probed(trials), axis=1)
+    depth = sorted(int(ranks[r.q, r.list]) + 1 for r in truth)
+    return depth[min(len(depth) - 1, int(np.ceil(AIM * len(depth))))] if depth else 1
+
+
+def _shelves(sizes: dict[int, int]) -> list[tuple[int, int, int]]:
+    """(list, its first shelf, its parts): lists in the order of their centroids, a new shelf
+    where the next does not fit any more; a list over ``BLOCK`` has shelves of its own."""
+    out, shelf, held = [], 0, 0
+    for number in sorted(sizes):
+        parts = -(-sizes[number] // BLOCK)
+        if held and held + sizes[number] > BLOCK:
+            shelf, held = shelf + 1, 0
+        out.append((number, shelf, parts))
+        shelf, held = (shelf + parts, 0) if parts > 1 else (shelf, held + sizes[number])
+    return out
+
+
+def neighbours(vectors: DataFrame, id_col: str, vec_col: str, is_query, k: int = 10, share: float | None = None, keep: int = 200) -> DataFrame:
+    """query_id, rank, vec_id, score of each query's k nearest found; probed, lists, recall.
+    is_query: a condition on the column ``id``. share: of the lists to probe, if it is not to
+    be measured."""
     spark = vectors.sparkSession
     good = usable(vectors, id_col, vec_col)
     lengths = good.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     if not lengths:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, probed int, lists int, recall double")
     dim = lengths[0].d
-    good = save(good.where(F.size("v") == dim), "vectors")
-    # about SAMPLE rows by a hash, so reruns fit the same quantiser
-    part = min(1.0, SAMPLE / max(good.count(), 1))
-    sample = good.where(F.pmod(F.xxhash64("id", "v"), F.lit(1 << 30)) < int(part * (1 << 30))).select("id", "v").toPandas()
-    sample = sample if len(sample) else good.limit(1).toPandas()
-    sample = sample.sort_values("id", kind="stable")["v"].tolist()
-    quantiser = spark.sparkContext.broadcast(Quantiser(np.array(sample)))
+    good = save(good.where(F.size("v") == dim).select(F.monotonically_increasing_id().alias("row"), "id", "v"), "vectors")
+    total = good.count()
+
+    def drawn(df: DataFrame, most: int, n: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
+        """row and vector of about ``most`` of n rows, by a hash, so reruns draw the same;
+        repeated rows come once, so they cannot fill the driver."""
+        some = df.where(F.pmod(F.xxhash64("id", "v", F.lit(salt)), F.lit(1 << 30)) < int(min(1.0, most / max(n, 1)) * (1 << 30)))
+        t = some.groupBy("id", "v").agg(F.min("row").alias("row")).orderBy("id", "row").toArrow().combine_chunks()
+        return t.column("row").to_numpy(), _matrix(t.column("v").combine_chunks(), dim) if len(t) else np.empty((0, dim))
+
+    _, sample = drawn(good, SAMPLE, total, 0)
+    sample = sample if len(sample) else drawn(good.where(good["id"] == good.agg(F.min("id")).first()[0]), 1 << 30, 1, 0)[1]
+    quantiser = spark.sparkContext.broadcast(Quantiser(sample, int(2 * total**0.5) + 1))
+    pq, n_lists = quantiser.value, len(quantiser.value.centres)
+    asking = good.where(is_query)
+    trial_rows, trials = drawn(asking, TRIALS, asking.count(), 1)
+    truth = _true_neighbours(good, trials, trial_rows, k, quantiser) if len(trials) else []
+    probes = _lists_to_probe(pq, trials, truth) if share is None else max(1, int(np.ceil(share * n_lists)))
 
     def index(batches):
         for batch in batches:
             if batch.num_rows:
-                lists, codes = quantiser.value.encode(_matrix(batch.column(1), dim))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary())], names=["id", "list", "code"])
+                lists, codes = quantiser.value.encode(_matrix(batch.column(2), dim))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lists, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary())], names=["row", "id", "list", "code"])
 
-    def probe(batches):
+    codes = save(good.mapInArrow(tidy(index), "row long, id long, list int, code binary"), "codes")
+    places = _shelves({r["list"]: r["count"] for r in codes.groupBy("list").count().collect()})  # one row per centroid
+    first, parts = np.zeros(n_lists, np.int64), np.zeros(n_lists, np.int64)
+    for number, shelf, n in places:
+        first[number], parts[number] = shelf, n
+
+    def ask(batches):
+        """Each query with the bound that it is given and the shelves that it visits."""
         for batch in batches:
-            if batch.num_rows:
-                lists = quantiser.value.probed(_matrix(batch.column(1), dim), share)
-                ids = batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), lists.shape[1])))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(lists.ravel(), pa.int32())], names=["query_id", "probed"])
-
-    codes = save(good.mapInArrow(tidy(index), "id long, list int, code binary"), "codes")
-    sizes = codes.groupBy("list").count()  # one row per centroid
-    shelves = -(-(sizes.agg(F.sum("count")).first()[0]) // BLOCK)
-    sizes = save(sizes.select("list", F.ceil(F.col("count") / F.lit(float(BLOCK))).cast("int").alias("parts")), "lists")
-    shelf = lambda part: F.pmod(F.xxhash64("list", part), F.lit(shelves)).cast("int").alias("shelf")
-    dealt = codes.join(F.broadcast(sizes), "list").select("id", "list", "code", shelf(F.pmod(F.xxhash64("id", "code"), "parts").cast("int")))
-    places = sizes.select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select(F.col("list").alias("probed"), shelf(F.col("part"))).distinct()
-    asked = save(good.where(is_query).select(F.col("id").alias("query_id"), F.col("v").alias("q")), "queries")
-    visits = asked.mapInArrow(tidy(probe), "query_id long, probed int").join(F.broadcast(places), "probed").select("query_id", "shelf").distinct()
-    visits = visits.join(asked, "query_id").select("query_id", "q", "shelf")
+            rows = []
+            for at, (row, q) in enumerate(zip(batch.column(0).to_pylist(), _matrix(batch.column(2), dim) if batch.num_rows else [])):
+                near = quantiser.value.probed(q[None], probes)[0]
+                shelves = np.unique(ragged(first[near], parts[near]))
+                rows.append((at, quantiser.value.bound(q, quantiser.value.products(q), total, keep), shelves))
+            if rows:
+                again = pa.array(np.repeat([r[0] for r in rows], [len(r[2]) for r in rows]))
+                bounds = np.repeat([r[1] for r in rows], [len(r[2]) for r in rows])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(again), pa.array(bounds), pa.array(np.concatenate([r[2] for r in rows]).astype(np.int32))], names=["query", "bound", "shelf"])
+
+    visits = save(asking.mapInArrow(tidy(ask), "query long, bound double, shelf int"), "visits")
+    # one row per shelf
+    blocks = F.broadcast(visits.groupBy("shelf").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(VISITORS))).cast("int").alias("blocks")))
+    queries = asking.select(F.col("row").alias("query"), F.col("v").alias("q"))
+    visitors = visits.join(blocks, "shelf").withColumn("block", F.pmod(F.xxhash64("query"), F.col("blocks")).cast("int")).drop("blocks").join(queries, "query")
+    where = F.broadcast(spark.createDataFrame(places, "list int, first int, parts int"))  # one row per centroid
+    dealt = codes.join(where, "list").withColumn("shelf", (F.col("first") + F.pmod(F.xxhash64("row"), F.col("parts"))).cast("int")).drop("first", "parts")
+    shelves = dealt.join(blocks, "shelf").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
 
     def scan(key, codes_of, queries_of):
         import pandas as pd
 
-        ids, lists = codes_of["id"].to_numpy(), codes_of["list"].to_numpy()
         out = []
-        if len(ids) and len(queries_of):
-            order = np.argsort(ids, kind="stable")  # ties in distance go to smaller ids
-            ids, lists = ids[order], lists[order]
-            code = np.frombuffer(b"".join(codes_of["code"]), np.uint8).reshape(len(ids), -1)[order].astype(np.int64)
+        if len(codes_of) and len(queries_of):
+            codes_of = codes_of.sort_values(["id", "row"], kind="stable")  # ties in distance go to smaller ids
+            rows, ids, lists = (codes_of[c].to_numpy() for c in ("row", "id", "list"))
+            code = np.frombuffer(b"".join(codes_of["code"]), np.uint8).reshape(len(ids), -1).astype(np.int64)
             code += np.arange(code.shape[1]) * CODEWORDS
             pq = quantiser.value
             added = pq.added(lists, code)
-            for query_id, q in zip(queries_of["query_id"], queries_of["q"]):
+            for query, q, bound in zip(queries_of["query"], queries_of["q"], queries_of["bound"]):
                 q = np.asarray(q)
                 base = np.full(len(pq.centres), np.inf)
-                near = pq.probed(q[None], share)[0]
+                near = pq.probed(q[None], probes)[0]
                 base[near] = ((pq.centres[near] - q) ** 2).sum(axis=1)
-                distance = base[lists] + added + pq.products(q)[code].sum(axis=1)
-                best = np.flatnonzero(distance < np.inf)
-                if len(best) > keep + 1:  # one more for the query's own row
-                    best = best[distance[best] <= np.partition(distance[best], keep)[keep]]
-                best = best[np.argsort(distance[best], kind="stable")][: keep + 1]
-                out.append((query_id, ids[best], distance[best]))
-        return pd.DataFrame(out, columns=["query_id", "ids", "near"])
-
-    met = dealt.groupBy("shelf").cogroup(visits.groupBy("shelf")).applyInPandas(scan, "query_id long, ids array<long>, near array<double>")
-    flat = met.select("query_id", F.explode(F.arrays_zip("near", "ids")).alias("x")).select("query_id", F.col("x.ids").alias("vec_id"), F.col("x.near").alias("near"))
-    nearer = Window.partitionBy("query_id").orderBy("near", "vec_id")
-    # equal ids come once for each of their vectors from the rerank
-    best = flat.where("query_id <> vec_id").withColumn("r", F.row_number().over(nearer)).where(F.col("r") <= keep).select("query_id", "vec_id").distinct()
-    originals = good.withColumnRenamed("id", "vec_id")
+                start = base[lists]
+                at = np.flatnonzero((start < np.inf) & (rows != query))
+                distance = start[at] + added[at] + pq.products(q)[code[at]].sum(axis=1)
+                within = distance <= bound
+                at, distance = at[within], distance[within]
+                if len(at) > keep:
+                    best = distance <= np.partition(distance, keep - 1)[keep - 1]
+                    at, distance = at[best], distance[best]
+                best = np.argsort(distance, kind="stable")[:keep]
+                if len(best):
+                    out.append((query, key[0], rows[at[best]], ids[at[best]], distance[best]))
+        return pd.DataFrame(out, columns=["query", "shelf", "rows", "ids", "near"])
+
+    met = shelves.groupBy("shelf", "block").cogroup(visitors.groupBy("shelf", "block")).applyInPandas(scan, "query long, shelf int, rows array<long>, ids array<long>, near array<double>")
+    flat = met.select("query", "shelf", F.explode(F.arrays_zip("near", "ids", "rows")).alias("x")).select("query", "shelf", "x.*")
+    # the best of 64 shelves each, then of all
+    for group in (["query", F.floor(F.col("shelf") / 64)], ["query"]):
+        flat = flat.withColumn("r", F.row_number().over(Window.partitionBy(*group).orderBy("near", "ids", "rows"))).where(F.col("r") <= keep).drop("r")
+    originals = good.select(F.col("row").alias("rows"), F.col("id").alias("vec_id"), "v")
     squares = F.aggregate(F.zip_with("q", "v", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    scored = best.join(originals, "vec_id").join(asked, "query_id").select("query_id", "vec_id", F.sqrt(squares).alias("score"))
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")).cast("int"))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    askers = asking.select(F.col("row").alias("query"), F.col("id").alias("query_id"), F.col("v").alias("q"))
+    scored = flat.select("query", "rows").join(originals, "rows").join(askers, "query").select("query", "query_id", "rows", "vec_id", F.sqrt(squares).alias("score"))
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("score", "vec_id", "rows")).cast("int"))
+    answer = save(ranked.where(F.col("rank") <= k), "answer")
+    true = {(int(trial_rows[r.q]), r.row) for r in truth}
+    got = {tuple(r) for r in answer.where(F.col("query").isin([int(i) for i in trial_rows])).select("query", "rows").collect()}  # TRIALS x k rows
+    drop(good, codes, visits)
+    figures = {"probed": F.lit(probes).cast("int"), "lists": F.lit(n_lists).cast("int"), "recall": F.lit(len(true & got) / len(true) if true else 1.0)}
+    return answer.select("query_id", "rank", "vec_id", "score").withColumns(figures)

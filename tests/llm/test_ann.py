@@ -62,3 +62,44 @@ def test_hot_list_in_several_shelves(spark, monkeypatch):
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
     want = exact(rows)
     assert {q: [v for _, v in sorted(f)] for q, f in got.items()} == {q: [v for v, _ in w] for q, w in want.items()}
+
+
+def test_no_shelf_or_block_grows(spark, monkeypatch):
+    """Shelves and blocks of visitors stay small, and the answer is that of one scan."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(12, 8)) * 4
+    rows = [(i, (centres[i % 12] + 0.3 * rng.normal(size=8)).astype(np.float32).tolist()) for i in range(900)]
+    df = spark.createDataFrame([(i, v, "") for i, v in rows], SCHEMA).repartition(4)
+    whole = sorted(map(tuple, ann.neighbours(df, "vec_id", "embedding", F.col("id") % 5 == 0).collect()))
+    monkeypatch.setattr(ann, "BLOCK", 64)
+    monkeypatch.setattr(ann, "VISITORS", 16)
+    small = sorted(map(tuple, ann.neighbours(df, "vec_id", "embedding", F.col("id") % 5 == 0).collect()))
+    assert small == whole and small[0][6] >= 0.9
+    assert small[0][4] < small[0][5] / 2  # structure: few lists are probed
+    sizes = {i: 10 + 7 * (i % 30) for i in range(100)}
+    held = {}
+    for number, shelf, parts in ann._shelves(sizes):
+        for part in range(parts):
+            held[shelf + part] = held.get(shelf + part, 0) + -(-sizes[number] // parts)
+    assert max(held.values()) <= 64 and sum(held.values()) >= sum(sizes.values())
+
+
+def test_the_share_of_lists_falls_as_vectors_grow(spark):
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(40, 16)) * 3
+    shares = []
+    for n in (600, 6000):
+        rows = [(i, (centres[i % 40] + 0.5 * rng.normal(size=16)).astype(np.float32).tolist(), "") for i in range(n)]
+        r = ann.neighbours(spark.createDataFrame(rows, SCHEMA), "vec_id", "embedding", F.col("id") % 20 == 0).first()
+        assert r.recall >= 0.9
+        shares.append(r.probed / r.lists)
+    assert shares[1] < shares[0] and shares[1] < 0.3
+
+
+def test_repeated_ids_and_names(spark):
+    v, w = [1.0, 0.0], [0.0, 1.0]
+    rows = [(0, v, 1, 2), (0, v, 1, 2), (0, w, 1, 2), (1, v, 1, 2)]
+    df = spark.createDataFrame(rows, "`vec.id` long, `e``m` array<float>, row int, list int")
+    got = sorted(tuple(r)[:4] for r in ann.neighbours(df, "vec.id", "e`m", F.col("id") == 0, k=2).collect())
+    far = math.sqrt(2)
+    assert got == sorted([(0, 1, 0, 0.0), (0, 2, 1, 0.0)] * 2 + [(0, 1, 0, far), (0, 2, 0, far)])
