@@ -71,3 +71,50 @@ def test_every_place_that_covers_enough_is_found():
                     found += 1
                     assert (number, 0) in {(n, s) for n, s, _ in index.places(words)}, (t.label, words)
     assert found > 200
+
+
+def test_a_file_looks_up_its_rarest_words():
+    counts = {w: 900 for w in (b"the", b"and", b"of", b"to", b"license", b"software", b"public", b"by")}
+    index = licenses.Index(1000, counts)
+    for number, t in enumerate(index.templates):
+        present = set(t.words)
+        possible = index.possible(present)
+        assert number in possible
+        chosen, needed = index.looked_up(present, possible)
+        assert chosen <= present and len(chosen) < max(4, len(present))
+        assert min(index.idf[w] for w in chosen) >= max((index.idf[w] for w in present - chosen if any(w in index.held[n] for n in possible)), default=0) or len(possible) > 1
+        assert needed[number] >= 1
+    assert index.possible({b"the", b"license", b"of"}) == []
+
+
+def test_whole_texts(spark):
+    whole = {label: text for label, text, _ in licenses.WHOLE}
+    made = [(i, "Copyright 2020 someone\n\n" + text.replace("warranty", "warranties") + "\n x") for i, text in enumerate(whole.values())]
+    made += [(100, whole["mit"] + "\n" + whole["zlib"]), (101, whole["mit"][:300]), (102, " ".join(reversed(whole["isc"].split())))]
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    for i, label in enumerate(whole):
+        assert label in got[i].labels.split(","), (label, got[i].labels)
+    assert {"mit", "zlib"} <= set(got[100].labels.split(",")) and "zlib" not in got[101].labels and got[102].labels == ""
+    assert got[3].labels.split(",") == ["bsd", "bsd-2-clause"] and "bsd-2-clause" not in got[4].labels.split(",")
+
+
+def test_places_equal_a_search_without_index():
+    rng = random.Random(11)
+    counts = {w: rng.choice([0, 5, 500]) for t in licenses.TEMPLATES for w in t.words}
+    index = licenses.Index(600, counts)
+    for trial in range(60):
+        words = []
+        for _ in range(rng.randrange(4)):
+            t = list(rng.choice(index.templates).words)
+            for _ in range(rng.randrange(1 + len(t) // 6)):
+                t[rng.randrange(len(t))] = rng.choice([b"zzz", b"the", t[0]])
+            words += [b"x"] * rng.randrange(5) + t[rng.randrange(3) :]
+        slow = set()
+        for number, t in enumerate(index.templates):
+            for start in range(-len(t.words), len(words) + 1):
+                met = [0 <= start + i < len(words) and words[start + i] == w for i, w in enumerate(t.words)]
+                cover = sum(w for w, m in zip(index.weights[number], met) if m) / sum(index.weights[number])
+                window = words[max(0, start) : start + len(t.words)]
+                if (all(met) if t.base else cover >= licenses.COVER and all(licenses._holds(window, p) for p in t.phrases)):
+                    slow.add((number, start))
+        assert {(n, s) for n, s, _ in index.places(words)} == slow
