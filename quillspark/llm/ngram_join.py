@@ -19,12 +19,19 @@ sequence; without words nothing), as 64-bit hashes. Two documents link when
    member's; where the bound allows a link, the document visits the group, which holds
    its token union. The overlap with that bounds a link again; only where it allows one
    the group is opened and all its members are counted through the group's postings.
-5. Of the links found in a group only a spanning forest leaves it; components come from
-   star contractions over these. Counts of links are summed before.
+   The visitors of a group are dealt to copies of it, each of about ``VISIT_TOKENS`` tokens
+   of visitors, so no task holds more than one group and such a share of its visitors.
+5. Of the links found at a copy of a group only a spanning forest leaves it; components
+   come from star contractions over these. Links are counted where they are found: a row
+   per member and a row per visitor, whatever the number of links.
+
+What grows with the square of a neighbourhood of unequal near copies is the number of
+comparisons, as every link is counted, and, by one in ``GROUP_TOKENS`` / set size, the number of
+visits; rows that leave the groups grow with the visits only.
 
 Defined results: null and empty texts have size 0 and link with nothing; a row without
 doc_id has no links and a null component; rows with equal doc_ids are one node of the
-graph but each gives a row; other columns are not read.
+graph but each gives a row; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -33,16 +40,24 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, drop, mix64, save, tidy
+from .common import U64, drop, mix64, quoted, save, tidy
 from .words import Words, ragged
 
 GROUP_TOKENS = 1 << 20
+VISIT_TOKENS = 1 << 22
 REGROUPINGS = 3
 LOOKED_AT = 3
-BROADCAST_ROWS = 1_000_000
+#: Tables of keys that are sent to all executors are no larger than this; larger ones are
+#: joined by shuffling. All other joins are left to the planner.
+BROADCAST_BYTES = 16 << 20
+
+
+def sent(keys: DataFrame) -> DataFrame:
+    """A table of longs, for a join with a much larger one."""
+    return F.broadcast(keys) if keys.count() * 8 * len(keys.columns) <= BROADCAST_BYTES else keys.hint("merge")
 
 # ------------------------------------------------------------------ sets
 
@@ -155,7 +170,7 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int, percen
                 names=["doc_id", "n_shingles", "h1", "h2", "parts", "cut", "need0", "need1"],
             )
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(tidy(run), SETS)
+    return docs.select(F.col(quoted(id_col)).cast("long").alias("id"), F.col(quoted(text_col)).alias("text")).mapInArrow(tidy(run), SETS)
 
 
 # ------------------------------------------------------------------ the matrix
@@ -210,60 +225,76 @@ FOUND = "a long, b long, links long"
 
 
 def _open_groups(percent: int, width: int):
-    """Rows sorted by (home, visit): a home's own documents first, then its visitors.
-    Yields (a, b, null) for spanning links and (a, null, links) for counts of links."""
+    """Rows (home, copy, visit, asks, rep, members, text) sorted by the first three: the
+    members of a copy of a group first, then its visitors. Every visitor and the members that
+    ask here are its queries. Yields (a, b, null) for spanning links and (a, null, links)
+    for counts of links."""
 
     def run(batches):
-        home, members, group, forest, visitors = None, {}, None, None, 0
-        out: list[tuple] = []
+        import pyarrow.compute as pc
+
+        place, members, group = None, {}, None
+        out: list[tuple[list, list, list]] = []
 
-        def open_home():
-            """Build the group and let its own documents be its first queries."""
+        def put(a, b, links):
+            out.append((a, b, links))
+
+        def opened() -> tuple[Group, Forest, np.ndarray]:
+            """Build the group and let those of its members that ask be its first queries."""
             keys = list(members)
             g, f = Group([k[0] for k in keys], [members[k][0] for k in keys], [members[k][1] for k in keys]), Forest()
             for i, key in enumerate(keys):
+                if not members[key][2]:
+                    continue
                 to = g.linked(members[key][1], percent)
                 to = to[to != i]
                 if len(to):
-                    out.append((key[0], None, int(g.members[to].sum())))
-                    out.extend((key[0], keys[j][0], None) for j in to[to < i].tolist() if f.join(i, j))
-            return g, f
+                    put([key[0]], [None], [int(g.members[to].sum())])
+                    new = [int(g.ids[j]) for j in to[to < i].tolist() if f.join(i, j)]
+                    put([key[0]] * len(new), new, [None] * len(new))
+            return g, f, np.zeros(len(keys), np.int64)
+
+        def closed():
+            """The links that visitors brought to each member, summed."""
+            if not members:
+                return
+            ids, _, met = (g := group or opened())[0].ids, g[1], g[2]
+            at = np.flatnonzero(met)
+            put(ids[at].tolist(), [None] * len(at), met[at].tolist())
 
         def flushed():
-            cols = list(zip(*out)) or [(), (), ()]
+            cols = [[x for part in out for x in part[i]] for i in range(3)]
             batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b", "links"])
             out.clear()
             return batch
 
         for batch in batches:
-            homes, visits, reps, counts = (batch.column(i).to_pylist() for i in range(4))
-            texts = batch.column(4).cast(pa.binary()).to_pylist()
+            homes, copies, visits, asks, reps, counts = (batch.column(i).to_pylist() for i in range(6))
+            texts = pc.fill_null(batch.column(6).cast(pa.binary()), b"").to_pylist()
             for at in range(0, len(texts), 200):
                 part = slice(at, at + 200)
-                for h, visit, rep, n, tokens in zip(homes[part], visits[part], reps[part], counts[part], sets_of([t or b"" for t in texts[part]], width)):
-                    if h != home:
-                        if members and group is None:
-                            open_home()
-                        home, members, group, forest, visitors = h, {}, None, None, 0
+                for home, copy, visit, ask, rep, n, tokens in zip(*(c[part] for c in (homes, copies, visits, asks, reps, counts)), sets_of(texts[part], width)):
+                    if (home, copy) != place:
+                        closed()
+                        place, members, group = (home, copy), {}, None
                     if not visit:
                         # equal rows are one document
-                        members[rep, int(mix64(tokens).sum(dtype=U64))] = (n, tokens)
+                        members[rep, int(mix64(tokens).sum(dtype=U64))] = (n, tokens, ask)
                         continue
                     if group is None:
-                        group, forest = open_home()
-                    to = group.linked(tokens, percent)
+                        group = (*opened(), [0])
+                    g, forest, met, seen = group
+                    to = g.linked(tokens, percent)
                     if len(to):
-                        visitors += 1
-                        me = len(group.ids) + visitors
-                        out.append((rep, None, int(group.members[to].sum())))
-                        for j in to.tolist():
-                            out.append((int(group.ids[j]), None, n))
-                            if forest.join(j, me):
-                                out.append((rep, int(group.ids[j]), None))
-                if len(out) > 20_000:
+                        seen[0] += 1
+                        me = len(g.ids) + seen[0]
+                        put([rep], [None], [int(g.members[to].sum())])
+                        met[to] += n
+                        new = [int(g.ids[j]) for j in to.tolist() if forest.join(j, me)]
+                        put([rep] * len(new), new, [None] * len(new))
+                if len(out) > 2_000:
                     yield flushed()
-        if members and group is None:
-            open_home()
+        closed()
         yield flushed()
 
     return run
@@ -324,54 +355,73 @@ def _visits(marks: DataFrame, grouped: DataFrame, needs: DataFrame) -> DataFrame
     return own.unionByName(met.join(needs, ["rep", "scheme"]).where("met >= need").select("rep", "to")).distinct()
 
 
+def _trips(grouped: DataFrame, visits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The copies of each group, and rep, members, home, copy, visit, asks: where each class goes. A group has a copy for
+    every ``VISIT_TOKENS`` tokens of visitors; its members go to all of its copies and ask
+    at one, a visitor goes to one."""
+    deal = lambda copies: F.pmod(F.xxhash64("rep"), copies)
+    coming = grouped.select("rep", "members", "n").join(visits, "rep")
+    copies = coming.groupBy(F.col("to").alias("home")).agg(F.ceil(F.sum("n") / F.lit(float(VISIT_TOKENS))).alias("copies"))
+    copies = save(copies, "copies")
+    visitors = coming.withColumnRenamed("to", "home").join(copies, "home")
+    visitors = visitors.select("rep", "members", "home", deal(F.col("copies")).alias("copy"), F.lit(1).alias("visit"), F.lit(True).alias("asks"))
+    n = F.coalesce("copies", F.lit(1).cast("long"))
+    own = grouped.join(copies, "home", "left").select("rep", "members", "home", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("copy"), deal(n).alias("at"))
+    own = own.select("rep", "members", "home", "copy", F.lit(0).alias("visit"), (F.col("copy") == F.col("at")).alias("asks"))
+    return copies, own.unionByName(visitors)
+
+
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 90) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, n_links."""
     sets = save(shingle_sets(docs, id_col, text_col, width, percent), "sets")
     known = sets.where("doc_id is not null and n_shingles > 0")
     classes = known.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("members"), F.max("n_shingles").alias("n"))
     classes = save(classes, "classes")
-    few = classes.count() <= BROADCAST_ROWS
-    small = F.broadcast if few else lambda df: df
 
     # parts that two classes share; a class's parts are those of its smallest doc_id
     reps = classes.select("h1", "h2", "rep")
-    heads = known.where(F.size("parts") > 0).withColumnRenamed("doc_id", "rep").join(small(reps), ["rep", "h1", "h2"], "left_semi")
-    marks = heads.select("rep", F.posexplode("parts").alias("i", "part"), "cut").select("rep", (F.col("i") >= F.col("cut")).cast("tinyint").alias("scheme"), "part")
-    shared = marks.withColumn("columns", F.count(F.lit(1)).over(Window.partitionBy("part"))).where("columns > 1")
-    shared = save(shared, "shared")
+    heads = known.where(F.size("parts") > 0).withColumnRenamed("doc_id", "rep").join(sent(reps), ["rep", "h1", "h2"], "left_semi")
+    all_marks = heads.select("rep", F.posexplode("parts").alias("i", "part"), "cut").select("rep", (F.col("i") >= F.col("cut")).cast("tinyint").alias("scheme"), "part")
+    # a part's classes are counted by partial sums; only parts of two or more go back to them
+    columns = save(all_marks.groupBy("part").agg(F.count(F.lit(1)).alias("columns")).where("columns > 1"), "columns")
+    shared = save(all_marks.join(sent(columns), "part"), "shared")
     # a class goes on only if it shares as many parts as a linked one must
     needs = heads.select("rep", F.lit(0).cast("tinyint").alias("scheme"), F.col("need0").alias("need")).unionByName(
         heads.where("need1 > 0").select("rep", F.lit(1).cast("tinyint").alias("scheme"), F.col("need1").alias("need"))
     )
     needs = needs.groupBy("rep", "scheme").agg(F.min("need").alias("need"))
     enough = shared.groupBy("rep", "scheme").agg(F.count(F.lit(1)).alias("met"), F.max(F.struct("columns", "part")).alias("most"))
-    enough = save(enough.join(small(needs), ["rep", "scheme"]).where("met >= need").select("rep", "scheme", "need", "most"), "enough")
-    few_left = enough.count() <= BROADCAST_ROWS
-    left = F.broadcast if few_left else lambda df: df
-    needs = left(enough.select("rep", "scheme", "need"))
+    enough = save(enough.join(needs, ["rep", "scheme"]).where("met >= need").select("rep", "scheme", "need", "most"), "enough")
+    needs = enough.select("rep", "scheme", "need")
     marks = save(shared.drop("columns").join(needs, ["rep", "scheme"]), "marks")
+    drop(columns, shared)
 
     # groups: at first by the most shared part of each class, then by the heaviest group
     # that each class would visit, which draws those of one neighbourhood together
     chosen = enough.groupBy("rep").agg(F.max("most")["part"].alias("key"))
-    chosen = left(chosen).join(classes.groupBy("rep").agg(F.sum("members").alias("members"), F.sum("n").alias("n")), "rep")
-    grouped = _grouped(save(chosen, "chosen"), 1 << 62)
+    chosen = chosen.join(classes.groupBy("rep").agg(F.sum("members").alias("members"), F.sum("n").alias("n")), "rep")
+    chosen = save(chosen, "chosen")
+    grouped = _grouped(chosen, 1 << 62)
+    drop(chosen)
     for turn in range(REGROUPINGS):
-        keyed = grouped.join(_drawn(marks, left(grouped), turn), "rep", "left").select("rep", "members", "n", F.coalesce("drawn", "home").alias("key"))
-        grouped = _grouped(save(keyed, "drawn"), 1 << 62)
-    grouped = _grouped(grouped.select("rep", "members", "n", F.col("home").alias("key")), GROUP_TOKENS)
+        keyed = save(grouped.join(_drawn(marks, grouped, turn), "rep", "left").select("rep", "members", "n", F.coalesce("drawn", "home").alias("key")), "drawn")
+        drop(grouped)
+        grouped = _grouped(keyed, 1 << 62)
+        drop(keyed)
+    whole, grouped = grouped, _grouped(grouped.select("rep", "members", "n", F.col("home").alias("key")), GROUP_TOKENS)
     # matrix cells: part x group
-    visits = save(_visits(marks, left(grouped), needs), "visits")
+    visits = save(_visits(marks, grouped, needs), "visits")
+    drop(whole, marks, enough)
 
     # each class goes to its own group and as a query to the groups that it visits
-    trips = grouped.select("rep", "members", F.col("home").alias("to"), F.lit(0).alias("visit")).unionByName(
-        grouped.join(visits, "rep").select("rep", "members", "to", F.lit(1).alias("visit"))
-    )
+    copies, trips = _trips(grouped, visits)
     trips = save(trips, "trips")
-    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).where("rep is not null")
-    met = texts.join(F.broadcast(trips) if trips.count() <= BROADCAST_ROWS else trips, "rep")
-    rows = met.select(F.col("to").alias("home"), "visit", "rep", "members", "text").repartition("home").sortWithinPartitions("home", "visit")
+    drop(grouped, visits, copies)
+    texts = docs.select(F.col(quoted(id_col)).cast("long").alias("rep"), F.col(quoted(text_col)).alias("text")).where("rep is not null")
+    texts = texts.join(sent(trips.select("rep").distinct()), "rep", "left_semi")
+    rows = texts.join(trips, "rep").select("home", "copy", "visit", "asks", "rep", "members", "text").repartition("home", "copy").sortWithinPartitions("home", "copy", "visit")
     found = save(rows.mapInArrow(tidy(_open_groups(percent, width)), FOUND), "found")
+    drop(trips)
 
     labels = components(found.where("b is not null").select("a", "b"))
     links = found.where("b is null").groupBy("a").agg(F.sum("links").alias("links"))

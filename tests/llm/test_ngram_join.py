@@ -62,7 +62,7 @@ def test_split_groups_and_no_broadcast(spark, monkeypatch):
     base = [f"w{i}" for i in range(80)]
     rows = [(i, " ".join(base[:-1] + [f"end{i}"])) for i in range(60)]
     monkeypatch.setattr(ngram_join, "GROUP_TOKENS", 700)
-    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(ngram_join, "BROADCAST_BYTES", 0)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in ngram_join.jaccard_classes(df).collect()}
     assert got == brute(rows, 3, 90)
@@ -97,3 +97,51 @@ def test_word_hashes_tell_words_apart():
     h = words.hashes().tolist()
     assert h[0] == h[6] and h[1] == h[7] and len(set(h)) == 6
     assert words.first.tolist() == [0, 3, 3, 7, 8]
+
+
+def near_copies(n, size=60):
+    base = [f"w{i}" for i in range(size)]
+    return [(i, " ".join(base[:-1] + [f"end{i}"])) for i in range(n)]
+
+
+def test_visitors_are_dealt_to_copies_of_groups(spark, monkeypatch):
+    rows = near_copies(70) + [(100 + i, t + " more") for i, t in near_copies(30)] + [(200, "w0 " * 3), (3, "w1 w2")]
+    monkeypatch.setattr(ngram_join, "GROUP_TOKENS", 500)
+    monkeypatch.setattr(ngram_join, "VISIT_TOKENS", 300)
+    df = spark.createDataFrame(rows[:-1], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in ngram_join.jaccard_classes(df).collect()}
+    assert got == brute(rows[:-1], 3, 90)
+
+
+def test_rows_out_of_groups_grow_with_near_copies_not_links(spark, monkeypatch):
+    """Ten times the near copies: a hundred times the links, about ten times the rows."""
+    out, plain = {}, ngram_join.save
+
+    def spied(df, name):
+        out[name] = plain(df, name)
+        return out[name]
+
+    monkeypatch.setattr(ngram_join, "save", spied)
+    found = []
+    for n in (40, 400):
+        got = ngram_join.jaccard_classes(spark.createDataFrame(near_copies(n), "doc_id long, text string")).collect()
+        assert all((r.component_id, r.n_links) == (0, n - 1) for r in got)
+        found.append(out["found"].count())
+    assert found[1] <= 11 * found[0] and found[1] <= 3 * 400
+
+
+def test_tables_are_deleted_and_names_are_free(spark, monkeypatch):
+    import os
+
+    made, plain = [], ngram_join.save
+
+    def spied(df, name):
+        made.append((name, (out := plain(df, name))._quill_path.removeprefix("file://").removeprefix("file:")))
+        return out
+
+    monkeypatch.setattr(ngram_join, "save", spied)
+    rows = [(i, t, 1, 2, 3) for i, t in near_copies(20)] + [(50, "é " * 300_000, 1, 2, 3), (51, "é " * 299_999, 1, 2, 3)]
+    df = spark.createDataFrame(rows, "`doc.id` long, `te``xt` string, rep int, home int, part int")
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_classes(df, "doc.id", "te`xt").collect()}
+    assert got == {**dict.fromkeys(range(20), 0), 50: 50, 51: 50}
+    assert {name for name, path in made if os.path.exists(path)} <= {"sets", "classes", "found", "small"}
