@@ -63,7 +63,7 @@ def train(docs: DataFrame, text_col: str, lang_col: str, languages: tuple[str, .
                     counts[languages.index(lang)] += trigrams(text)
         yield pa.RecordBatch.from_arrays([pa.array(range(len(languages)), pa.int32()), pa.array(counts.tolist(), pa.list_(pa.int64()))], names=["lang", "counts"])
 
-    known = docs.where(F.col(quoted(lang_col)).isin(*languages)).select(F.col(quoted(lang_col)), F.col(quoted(text_col)))
+    known = docs.where(F.col(quoted(lang_col)).isin(*languages)).select(F.col(quoted(lang_col)).alias("lang"), F.col(quoted(text_col)).alias("text"))
     cells = known.mapInArrow(tidy(run), "lang int, counts array<long>").select("lang", F.posexplode("counts").alias("bucket", "n"))
     counts = np.full((len(languages), BUCKETS), 0.5)
     for lang, bucket, n in cells.groupBy("lang", "bucket").agg(F.sum("n")).collect():  # languages x buckets at most
@@ -212,7 +212,7 @@ def page_evidence(pages: DataFrame, model: np.ndarray, id_col: str = "page_id",
                 rows.append((page_id, likelihoods(visible(html), model), declared_language(html), *address_of(url)))
             yield _batch(rows)
 
-    return pages.select(F.col(quoted(id_col)).cast("long"), F.col(quoted(url_col)), F.col(quoted(html_col))).mapInArrow(tidy(run), EVIDENCE_SCHEMA)
+    return pages.select(F.col(quoted(id_col)).cast("long").alias("id"), F.col(quoted(url_col)).alias("url"), F.col(quoted(html_col)).alias("html")).mapInArrow(tidy(run), EVIDENCE_SCHEMA)
 
 
 def document_evidence(docs: DataFrame, model: np.ndarray, id_col: str, text_col: str, lang_col: str, source_col: str) -> DataFrame:
@@ -224,4 +224,4 @@ def document_evidence(docs: DataFrame, model: np.ndarray, id_col: str, text_col:
             rows = [(d, likelihoods(t or b"", model), lang, None, s, s) for d, t, lang, s in zip(ids.to_pylist(), texts.cast(pa.binary()).to_pylist(), langs.to_pylist(), sources.to_pylist())]
             yield _batch(rows)
 
-    return docs.select(F.col(quoted(id_col)).cast("long"), F.col(quoted(text_col)), F.col(quoted(lang_col)).cast("string"), F.col(quoted(source_col)).cast("string")).mapInArrow(tidy(run), EVIDENCE_SCHEMA)
+    return docs.select(F.col(quoted(id_col)).cast("long").alias("id"), F.col(quoted(text_col)).alias("text"), F.col(quoted(lang_col)).cast("string").alias("lang"), F.col(quoted(source_col)).cast("string").alias("source")).mapInArrow(tidy(run), EVIDENCE_SCHEMA)

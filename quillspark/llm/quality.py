@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, save, tidy
+from .common import drop, quoted, save, tidy
 from .words import Words
 
 SAMPLE = 20_000
@@ -168,7 +168,7 @@ def _unpack(column: pa.Array, n: int) -> np.ndarray:
 
 def featured(docs: DataFrame, labels: DataFrame | None, id_col: str, text_col: str) -> DataFrame:
     """doc_id, text and metadata features as packed floats, label (null if unknown)."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col("source").cast("string"), F.col("lang").cast("string"), F.col("n_chars").cast("long"))
+    rows = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).alias("text"), F.col("source").cast("string"), F.col("lang").cast("string"), F.col("n_chars").cast("long"))
 
     def run(batches):
         for batch in batches:

@@ -91,83 +91,95 @@ def unpack_bits(data: bytes, size: int) -> bytes:
 
 
 def lzw_encode(data: bytes) -> bytes:
-    """Codes of 9 to 12 bits, most significant bit first, widened one code early."""
-    held, bits, out = 0, 0, bytearray()
-
-    def put(code: int, width: int) -> None:
-        nonlocal held, bits
-        held, bits = held << width | code, bits + width
-        while bits >= 8:
-            bits -= 8
-            out.append(held >> bits & 255)
-        held &= (1 << bits) - 1
-
-    def fresh() -> dict[bytes, int]:
-        return {bytes((i,)): i for i in range(256)}
-
-    codes, following, width, run = fresh(), 258, 9, b""
-    put(256, 9)
-    for i in range(len(data)):
-        longer = run + data[i : i + 1]
-        if longer in codes:
-            run = longer
+    """Codes of 9 to 12 bits, most significant bit first, widened one code early. A string
+    is the code of its beginning and one byte more; all codes are packed at once."""
+    codes, widths = [256], [9]
+    longer: dict[int, int] = {}
+    following, width, code = 258, 9, -1
+    for byte in data:
+        if code < 0:
+            code = byte
+            continue
+        key = code << 8 | byte
+        if (known := longer.get(key)) is not None:
+            code = known
             continue
-        put(codes[run], width)
-        codes[longer] = following
+        codes.append(code)
+        widths.append(width)
+        longer[key] = following
         following += 1
-        run = data[i : i + 1]
+        code = byte
         if following == 4095:
-            put(256, width)
-            codes, following, width = fresh(), 258, 9
+            codes.append(256)
+            widths.append(width)
+            longer, following, width = {}, 258, 9
         elif following in (512, 1024, 2048):
             width += 1
-    if run:
-        put(codes[run], width)
+    if code >= 0:
+        codes.append(code)
+        widths.append(width)
         following += 1
         if following in (512, 1024, 2048):
             width += 1
-    put(257, width)
-    if bits:
-        out.append(held << (8 - bits) & 255)
-    return bytes(out)
+    codes.append(257)
+    widths.append(width)
+    c, w = np.array(codes, np.uint16)[:, None], np.array(widths, np.int8)[:, None]
+    place = np.arange(12, dtype=np.int8)
+    return np.packbits((c >> np.maximum(w - 1 - place, 0).astype(np.uint16) & 1).astype(np.uint8)[place < w]).tobytes()
+
+
+# Widths of the codes that follow a clear code, and where each begins.
+_WIDTHS = 9 + sum((np.arange(4096) >= first).astype(np.int64) for first in (254, 766, 1790))
+_BEGINS = np.concatenate(([0], np.cumsum(_WIDTHS)))
+
+
+def _lzw_codes(data: bytes):
+    """Runs of codes, each up to and with a clear or end code; all of a run are cut out of the
+    bits at once."""
+    bits, at, number = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.int64), 0, 0
+    while at + 9 <= 8 * len(data):
+        width = _WIDTHS[number:] if number < 4096 else np.full(4096, 12)
+        begin = at + (_BEGINS[number:-1] - _BEGINS[number] if number < 4096 else 12 * np.arange(4096))
+        whole = begin + width <= 8 * len(data)
+        begin, width = begin[whole], width[whole]
+        if not len(begin):
+            return
+        byte = begin >> 3
+        codes = (bits[byte] << 16 | bits[byte + 1] << 8 | bits[byte + 2]) >> (24 - (begin & 7) - width) & ((1 << width) - 1)
+        marks = np.flatnonzero((codes == 256) | (codes == 257))
+        end = int(marks[0]) + 1 if len(marks) else len(codes)
+        yield codes[:end].tolist()
+        at = int(begin[end - 1] + width[end - 1])
+        number = 0 if len(marks) else number + end
 
 
 def lzw_decode(data: bytes, size: int) -> bytes:
     single = [bytes((i,)) for i in range(256)] + [b"", b""]
-    words, width, out, made = list(single), 9, [], 0
-    held = bits = 0
-    before = None
-    for byte in data:
-        held, bits = held << 8 | byte, bits + 8
-        if bits < width:
-            continue
-        bits -= width
-        code = held >> bits
-        held &= (1 << bits) - 1
-        if code == 257:
-            break
-        if code == 256:
-            words, width, before = list(single), 9, None
-            continue
-        if before is None:
-            if code > 255:
-                raise TiffError("LZW code before its entry")
-            word = words[code]
-        else:
-            if code < len(words):
+    words, out, made, before = list(single), [], 0, None
+    for codes in _lzw_codes(data):
+        for code in codes:
+            if code == 257:
+                return b"".join(out)
+            if code == 256:
+                words, before = list(single), None
+                continue
+            if before is None:
+                if code > 255:
+                    raise TiffError("LZW code before its entry")
                 word = words[code]
-            elif code == len(words):
-                word = before + before[:1]
             else:
-                raise TiffError("LZW code before its entry")
-            words.append(before + word[:1])
-            if len(words) in (511, 1023, 2047):
-                width += 1
-        out.append(word)
-        made += len(word)
-        before = word
-        if made >= size:
-            break
+                if code < len(words):
+                    word = words[code]
+                elif code == len(words):
+                    word = before + before[:1]
+                else:
+                    raise TiffError("LZW code before its entry")
+                words.append(before + word[:1])
+            out.append(word)
+            made += len(word)
+            before = word
+            if made >= size:
+                return b"".join(out)
     return b"".join(out)
 
 
