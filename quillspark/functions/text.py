@@ -78,24 +78,28 @@ def name_tokens(c: str | Column) -> Column:
 # ------------------------------------------------------------------ bodies
 
 
+# What is taken out of a body, one after the other (each works on what the ones
+# before it left), and what then counts as a token. Quoted literals are unrolled possessive
+# patterns: the plain alternation recurses in this engine, and a long literal would end it.
+STRIPS = {
+    r"/\*[\s\S]*?\*/": " ",
+    r"(^|[^:])//[^\n]*": "$1 ",
+    r"(?U)(^|\s)#[^\n]*": "$1 ",
+    r'"[^"\\]*+(?:\\.[^"\\]*+)*+"': ' "S" ',
+    r"'[^'\\]*+(?:\\.[^'\\]*+)*+'": ' "S" ',
+    r"`[^`\\]*+(?:\\.[^`\\]*+)*+`": ' "S" ',
+    rf"{EDGE}[0-9][0-9_.]*{EDGE}": " 0 ",
+}
+TOKEN = r"[A-Za-z_$][A-Za-z0-9_$]*|[{}()\[\];,.=<>+\-*/%!&|?:]"
+
+
 def skeleton_tokens(c: str | Column, most: int | None = None) -> Column:
     """A body's control words and punctuation; names become X, literals disappear. The
-    whole body counts, or its first ``most`` characters.
-
-    Quoted literals are matched by unrolled possessive patterns: the plain alternation
-    recurses in this engine, and a long literal would end the process."""
+    whole body counts, or its first ``most`` characters."""
     body = text_of(c) if most is None else F.substring(text_of(c), 1, most)
-    for pattern, put in (
-        (r"/\*[\s\S]*?\*/", " "),
-        (r"(^|[^:])//[^\n]*", "$1 "),
-        (r"(?U)(^|\s)#[^\n]*", "$1 "),
-        (r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', ' "S" '),
-        (r"'[^'\\]*+(?:\\.[^'\\]*+)*+'", ' "S" '),
-        (r"`[^`\\]*+(?:\\.[^`\\]*+)*+`", ' "S" '),
-        (rf"{EDGE}[0-9][0-9_.]*{EDGE}", " 0 "),
-    ):
+    for pattern, put in STRIPS.items():
         body = F.regexp_replace(body, pattern, put)
-    found = F.regexp_extract_all(body, F.lit(r"[A-Za-z_$][A-Za-z0-9_$]*|[{}()\[\];,.=<>+\-*/%!&|?:]"), F.lit(0))
+    found = F.regexp_extract_all(body, F.lit(TOKEN), F.lit(0))
     return F.transform(found, lambda t: F.when(F.lower(t).isin(*KEYWORDS), F.lower(t)).when(t.rlike("^[A-Za-z_$]"), F.lit("X")).otherwise(t))
 
 
@@ -110,6 +114,17 @@ def shingles(tokens: Column, size: int = SHINGLE) -> Column:
     return let(tokens, windows)
 
 
+def window_hashes(tokens: Column, size: int = SHINGLE) -> Column:
+    """Distinct 64-bit hashes of the windows of ``size`` tokens: as :func:`shingles` where only
+    equality counts, without making the texts."""
+
+    def windows(t: Column) -> Column:
+        hashes = F.transform(F.sequence(F.lit(1), F.size(t) - size + 1), lambda i: F.xxhash64(*(F.element_at(t, i + j) for j in range(size))))
+        return F.when(F.size(t) >= size, F.array_distinct(hashes)).otherwise(F.array().cast("array<bigint>"))
+
+    return let(tokens, windows)
+
+
 # ------------------------------------------------------------------ cells of reports
 
 # What a verdict's token is called in a report.

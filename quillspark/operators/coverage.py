@@ -40,12 +40,29 @@ def mention_split(symbols: DataFrame, corpus: DataFrame, name_col: str = "name",
     return symbols.join(mentioned, F.col(name_col) == F.col("__n"), "left").withColumn("covered", F.coalesce("__hit", F.lit(False))).drop("__n", "__hit")
 
 
+def test_suite(files: DataFrame) -> DataFrame:
+    """files: path, content, refused, as a working tree gives them. The test files: path,
+    content (null if refused), refused."""
+    return files.where(is_test_path("path")).select("path", F.when(~F.coalesce("refused", F.lit(False)), F.col("content")).alias("content"), F.coalesce("refused", F.lit(False)).alias("refused"))
+
+
+def suite_coverage(symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """The summary of symbols against a working tree: refused test files count as files,
+    but hold nothing."""
+    suite = test_suite(files)
+    return _summary(symbols, suite.where("not refused"), suite.agg(F.count(F.lit(1)).alias("t"), F.count_if("refused").alias("r")))
+
+
 def coverage_summary(symbols: DataFrame, corpus: DataFrame, refused: int = 0) -> DataFrame:
     """One row: has_test_suite, test_files, refused, covered, orphans. Without a suite
     nothing is asked of the symbols."""
-    zero = lambda c: F.lit(0).cast("long").alias(c)
-    files = corpus.agg(F.count(F.lit(1)).alias("t")).select("t", zero("c"), zero("o"))
-    counts = mention_split(symbols, corpus).agg(F.count_if("covered").alias("c"), F.count_if(~F.col("covered")).alias("o")).select(zero("t"), "c", "o")
-    both = files.unionByName(counts).agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.sum("o").alias("o"))
-    n = F.col("t") + refused
-    return both.select((n > 0).alias("has_test_suite"), n.alias("test_files"), F.lit(refused).alias("refused"), F.when(n > 0, F.col("c")).otherwise(0).alias("covered"), F.when(n > 0, F.col("o")).otherwise(0).alias("orphans"))
+    return _summary(symbols, corpus, corpus.agg((F.count(F.lit(1)) + refused).alias("t"), F.lit(refused).cast("long").alias("r")))
+
+
+def _summary(symbols: DataFrame, corpus: DataFrame, files: DataFrame) -> DataFrame:
+    zero = lambda *names: [F.lit(0).cast("long").alias(c) for c in names]
+    counts = mention_split(symbols, corpus).agg(F.count_if("covered").alias("c"), F.count_if(~F.col("covered")).alias("o"))
+    both = files.select("t", "r", *zero("c", "o")).unionByName(counts.select(*zero("t", "r"), "c", "o"))
+    both = both.agg(*(F.sum(c).alias(c) for c in "trco"))
+    asked = lambda c: F.when(F.col("t") > 0, F.col(c)).otherwise(0)
+    return both.select((F.col("t") > 0).alias("has_test_suite"), F.col("t").alias("test_files"), F.col("r").alias("refused"), asked("c").alias("covered"), asked("o").alias("orphans"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import is_excluded_symbol
-from ..functions.similarity import CANDIDATES, THRESHOLD, signature_shape
+from ..functions.similarity import CANDIDATES, MIN_TOKENS, THRESHOLD, signature_shape
 from ..functions.text import name_tokens, shingles, skeleton_tokens
 from ..operators.diff import diff_lines
 from ..operators.pairs import find_duplicates, once_per_pair
@@ -15,10 +15,12 @@ from ..sources.scratch import stored
 
 
 def features(symbols: DataFrame) -> DataFrame:
-    """Adds key, tokens, shape and grams: what pairs are compared by, once per symbol."""
+    """Adds key, tokens, shape and grams: what pairs are compared by, once per symbol. Bodies of
+    fewer than ``MIN_TOKENS`` tokens are too short to tell anything and have no grams."""
     key = F.concat_ws(":", "path", "line", "name")
     out = symbols.withColumn("key", key).withColumn("tokens", F.array_distinct(name_tokens("name"))).withColumn("skeleton", skeleton_tokens("body"))
-    return out.withColumn("grams", shingles(F.col("skeleton"))).withColumn("shape", signature_shape(F.coalesce("signature", F.lit("")))).drop("skeleton", "body")
+    grams = F.when(F.size("skeleton") >= MIN_TOKENS, shingles(F.col("skeleton"))).otherwise(F.array().cast("array<string>"))
+    return out.withColumn("grams", grams).withColumn("shape", signature_shape(F.coalesce("signature", F.lit("")))).drop("skeleton", "body")
 
 
 def duplication(patches: DataFrame, files: DataFrame, threshold: float = THRESHOLD, k: int = CANDIDATES) -> DataFrame:

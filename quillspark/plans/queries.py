@@ -12,7 +12,7 @@ from ..functions import paths as P
 from ..functions import similarity as S
 from ..functions import tasks as T
 from ..functions import text as X
-from ..operators import budget, coverage, diff, lint, pairs, symbols, verdicts
+from ..operators import budget, coverage, diff, lint, pairs, verdicts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -37,12 +37,6 @@ def rows(spark: SparkSession, schema: str, *values: tuple) -> DataFrame:
     return spark.createDataFrame(list(values), schema)
 
 
-def values_sql(columns: str, *values: tuple) -> str:
-    """SQL that states the expected rows of a query over fixed inputs."""
-    show = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(show, r)) + ')' for r in values)}) AS t({columns})"
-
-
 def joined(tokens: Column) -> Column:
     return F.array_join(tokens, " ")
 
@@ -61,7 +55,7 @@ def name_tokens_sql(e: str) -> str:
 
 
 def skeleton_sql(e: str) -> str:
-    body = f"left(coalesce({e}, ''), 20000)"
+    body = f"coalesce({e}, '')"
     for pattern, put in (
         (r"/\*[\s\S]*?\*/", " "),
         (r"(^|[^:])//[^\n]*", r"\1 "),
@@ -83,10 +77,13 @@ def windows_sql(tokens: str, size: int = 4) -> str:
 WORDS = r"list_filter(string_split_regex(lower(coalesce(text, '')), '\s+'), lambda w: w <> '')"
 
 
+def words_of(text: str) -> Column:
+    return F.filter(F.split(F.lower(X.text_of(text)), r"\s+"), lambda w: w != "")
+
+
 def word_sets(docs: DataFrame, id_col: str = "doc_id", size: int = 4) -> DataFrame:
-    """id and the distinct windows of words of each text."""
-    words = F.filter(F.split(F.lower(X.text_of("text")), r"\s+"), lambda w: w != "")
-    return docs.select(F.col(id_col), X.shingles(words, size).alias("grams"))
+    """id and the distinct windows of words of each text, hashed."""
+    return docs.select(F.col(id_col), X.window_hashes(words_of("text"), size).alias("grams"))
 
 
 # ------------------------------------------------------------------ names and bodies
@@ -99,13 +96,6 @@ for _table, _key, _name in (("part", "p_partkey", "p_name"), ("customer", "c_cus
     QUERIES[f"name_tokens_{_table}"] = _names
     SQL[f"name_tokens_{_table}"] = f"SELECT {_key}, array_to_string({name_tokens_sql(_name)}, ' ') AS tokens FROM {_table}"
 
-_NAMES = [("CalculateOrderTotal", "compute order sum"), ("calculate_order_totals", "compute order sum"), ("getOrderTotal", "order sum"), ("HTTPClientFactory", "http client factory"), ("getHTTPResponseCode", "http response code"), ("parseURLFromXMLHTTPRequest", "map url xmlhttp request"), ("IOError", "io error"), ("ABCd", "ab cd"), ("", ""), ("get_set", "")]
-
-
-@query(values_sql("name, tokens", *_NAMES))
-def name_tokens_cases(spark, sf_dir):
-    return rows(spark, "name string, expected string", *_NAMES).select("name", joined(X.name_tokens("name")).alias("tokens"))
-
 
 @query(f"SELECT doc_id, len(s) AS n_tokens, md5(array_to_string(s, ' ')) AS skeleton FROM (SELECT doc_id, {skeleton_sql('text')} AS s FROM documents)")
 def skeleton_tokens(spark, sf_dir):
@@ -115,7 +105,8 @@ def skeleton_tokens(spark, sf_dir):
 
 @query(f"SELECT doc_id, unnest(g) AS shingle FROM (SELECT doc_id, {windows_sql('w')} AS g FROM (SELECT doc_id, {WORDS} AS w FROM documents) WHERE len(w) >= 4)")
 def shingle_postings(spark, sf_dir):
-    return pairs.postings(word_sets(table(spark, sf_dir, "documents")), "doc_id", "grams").select(F.col("id").alias("doc_id"), F.col("token").alias("shingle"))
+    sets = table(spark, sf_dir, "documents").select("doc_id", X.shingles(words_of("text")).alias("grams"))
+    return pairs.postings(sets, "doc_id", "grams").select(F.col("id").alias("doc_id"), F.col("token").alias("shingle"))
 
 
 # ------------------------------------------------------------------ similarity
@@ -155,12 +146,19 @@ def top_k_matches(spark, sf_dir):
     return pairs.similar_top_k(sets, "doc_id", "grams", S.THRESHOLD).select(F.col("a").alias("doc_id"), F.col("rank").cast("long").alias("rank"), F.col("b").alias("other"), "jaccard")
 
 
+COMMON_BODY = "if (a) { return b; } else { return c(d, e); }"
+SHORT_BODY = "{ return x ; } if ( y ) { z = x + y ; } while ( q )".split()
+
+
 def symbol_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Symbols made of part names and types: as many as these have values."""
     parts = table(spark, sf_dir, "part").groupBy("p_name", "p_type").agg(F.min("p_size").alias("size"))
     words = F.split("p_name", " ")
     first, last = F.element_at(words, 1), F.element_at(words, -1)
-    body = F.concat(F.lit("for (x in "), first, F.lit(") { "), F.repeat(F.concat(F.lit("y += "), last, F.lit("; if (z) { call(y); } ")), (F.col("size") % 4).cast("int")), F.lit("return y; }"))
+    long = F.concat(F.lit("for (x in "), first, F.lit(") { "), F.repeat(F.concat(F.lit("y += "), last, F.lit("; if (z) { call(y); } ")), (F.col("size") % 4).cast("int")), F.lit("return y; }"))
+    # a third of the bodies are equal; some have 0 to 20 tokens
+    short = F.array_join(F.slice(F.array(*map(F.lit, SHORT_BODY)), 1, F.col("size") % 21), " ")
+    body = F.when(F.col("size") % 3 == 0, F.lit(COMMON_BODY)).when(F.col("size") % 3 == 1, short).otherwise(long)
     made = parts.select(
         F.concat(F.initcap("p_name"), F.lit(" "), F.initcap("p_type")).alias("name"),
         F.concat(F.lit("public "), F.col("p_type"), F.lit(" Make("), first, F.lit(" a, int b)")).alias("signature"),
@@ -178,8 +176,9 @@ _SYMBOLS = f"""
 m AS (SELECT p_name, p_type, min(p_size) AS size, string_split(p_name, ' ')[1] AS w1, string_split(p_name, ' ')[-1] AS w2 FROM part GROUP BY p_name, p_type),
 v AS (SELECT list_reduce(list_transform(string_split(p_name, ' '), lambda w: upper(left(w, 1)) || w[2:]), lambda x, y: x || ' ' || y) || ' ' || upper(left(p_type, 1)) || lower(p_type[2:]) AS name,
   lower(w1) AS t1, lower(p_type) AS ret, 'src/' || w2 || '.cs' AS path, size AS line,
-  'for (x in ' || w1 || ') {{ ' || repeat('y += ' || w2 || '; if (z) {{ call(y); }} ', size % 4) || 'return y; }}' AS body FROM m),
-s AS (SELECT *, list_distinct({name_tokens_sql('name')}) AS t, {windows_sql('k')} AS g FROM (SELECT *, {skeleton_sql('body')} AS k FROM v)),
+  CASE size % 3 WHEN 0 THEN '{COMMON_BODY}' WHEN 1 THEN array_to_string(list_slice([{", ".join(f"'{w}'" for w in SHORT_BODY)}], 1, size % 21), ' ')
+   ELSE 'for (x in ' || w1 || ') {{ ' || repeat('y += ' || w2 || '; if (z) {{ call(y); }} ', size % 4) || 'return y; }}' END AS body FROM m),
+s AS (SELECT *, list_distinct({name_tokens_sql('name')}) AS t, CASE WHEN len(k) >= 8 THEN {windows_sql('k')} ELSE [] END AS g FROM (SELECT *, {skeleton_sql('body')} AS k FROM v)),
 c AS (SELECT a.name AS a, b.name AS b,
   CASE WHEN len(a.t) > 0 AND len(b.t) > 0 THEN len(list_intersect(a.t, b.t)) / least(len(a.t), len(b.t))::DOUBLE ELSE 0.0::DOUBLE END AS name_score,
   least(1.0::DOUBLE, 0.4::DOUBLE + 0.4::DOUBLE * (((CASE WHEN 'new' IN (a.t1, b.t1) THEN 0.5 WHEN a.t1 = b.t1 THEN 1 ELSE 0 END) + 1) / 2.0::DOUBLE) + CASE WHEN a.ret = b.ret THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END) AS signature_score,
@@ -224,7 +223,7 @@ def intra_vs_existing(spark, sf_dir):
 
 _MENTION = r"""
 WITH n AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS name FROM benchmark),
-c AS (SELECT DISTINCT unnest(regexp_extract_all(left(text, 200000), '[A-Za-z0-9_]+')) AS word FROM documents)
+c AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS word FROM documents)
 SELECT name FROM n WHERE name {} (SELECT word FROM c)"""
 
 
@@ -309,15 +308,6 @@ def list_items(spark, sf_dir):
     return flat.select("page_id", F.posexplode(items).alias("ord", "l")).select("page_id", F.col("ord").cast("long").alias("ord"), F.expr("substring(l, 3)").alias("item"))
 
 
-_ENTITIES = [(1, "a&#233;b", "aéb"), (2, "&#x1F;&#65;&#x263a;", "A☺"), (3, "&eacute;&Uuml;&ntilde;&Ccedil;", "éÜñÇ"), (4, "<ul><li>one</li><li>two</li></ul>", "- one\n\n- two"), (5, "a&amp;lt;b", "a&lt;b"), (6, None, ""), (7, "<p>x</p>  <br/>y", "x\n\ny")]
-
-
-@query(values_sql("id, text", *[(i, "A☺" if i == 2 else t) for i, _, t in _ENTITIES]))
-def html_entities(spark, sf_dir):
-    """Entities that the pages do not hold. (The unit separator is trimmed.)"""
-    return rows(spark, "id long, html string, expected string", *_ENTITIES).select("id", F.replace(X.html_to_text("html"), F.lit("\x1f"), F.lit("")).alias("text"))
-
-
 # ------------------------------------------------------------------ diffs and symbols
 
 
@@ -335,78 +325,6 @@ def diff_line_numbers(spark, sf_dir):
     return diff.diff_lines(made, "doc_id", "patch").select(F.col("id").alias("doc_id"), "path", F.col("line").cast("long").alias("line"), F.md5(F.col("text").cast("binary")).alias("text"))
 
 
-SOURCE = [
-    ("Vacancy.cs", "public class VacancyService"), ("Vacancy.cs", "    public async Task<int> EvaluateAsync(Order order)"), ("Vacancy.cs", "    public string Name { get; set; }"),
-    ("Vacancy.cs", "public record ScoreDto(int Value)"), ("Vacancy.cs", "public interface IScorer"), ("Vacancy.cs", "internal class Helper"), ("Vacancy.cs", "    private int Hidden()"), ("Vacancy.cs", "    public int Total => 3;"),
-    ("a.ts", "export async function load(x: number) {"), ("a.ts", "export default class Store {"), ("a.ts", "export const use = defineStore('x', () => {})"), ("a.ts", "export const sum = (a, b) => a + b"), ("a.ts", "export const k = 3"), ("a.ts", "function hidden() {}"), ("a.ts", "export enum Color { Red }"), ("a.ts", "export type Id = string"),
-    ("Order.php", "final class Order"), ("Order.php", "    public function total(int $n)"), ("Order.php", "    private function secret()"), ("Order.php", "    protected function inner()"), ("Order.php", "    public function __construct()"),
-    ("vacancy-card.vue", "export const helper = async x => x"), ("notes.md", "public class NotCode"),
-]
-SYMBOLS = [
-    ("Order.php", 1, "Order", "class", True), ("Order.php", 2, "total", "method", True), ("Order.php", 4, "inner", "method", False),
-    ("Vacancy.cs", 1, "VacancyService", "class", True), ("Vacancy.cs", 2, "EvaluateAsync", "method", True), ("Vacancy.cs", 4, "ScoreDto", "class", True), ("Vacancy.cs", 5, "IScorer", "interface", True), ("Vacancy.cs", 6, "Helper", "class", False),
-    ("a.ts", 1, "load", "function", True), ("a.ts", 2, "Store", "class", True), ("a.ts", 3, "use", "function", True), ("a.ts", 4, "sum", "function", True), ("a.ts", 7, "Color", "enum", True), ("a.ts", 8, "Id", "interface", True),
-    ("vacancy-card.vue", 1, "VacancyCard", "component", True), ("vacancy-card.vue", 1, "helper", "function", True),
-]
-
-
-@query(values_sql("path, line, name, kind, exported", *SYMBOLS))
-def symbols_from_source(spark, sf_dir):
-    seen: dict[str, int] = {}
-    lines = [("c", path, seen.setdefault(path, 0) or 0, text, i) for i, (path, text) in enumerate(SOURCE)]
-    numbered = []
-    for i, (_, path, _, text, _) in enumerate(lines):
-        seen[path] += 1
-        numbered.append(("c", path, seen[path], text, i))
-    found = symbols.symbols_of_lines(rows(spark, "id string, path string, line int, text string, ord int", *numbered))
-    return found.select("path", F.col("line").cast("long").alias("line"), "name", "kind", "exported")
-
-
-BODIES = [
-    (1, 1, "int f() {\n  a();\n}\nint g() {", "int f() {\n  a();\n}"),
-    (2, 1, "int f();\nint g() {", "int f();"),
-    (3, 2, "x\nint f()\n{\n if (a) {\n }\n}\nrest", "int f()\n{\n if (a) {\n }\n}"),
-    (4, 1, "int f()\n\nint g()", "int f()\n"),
-    (5, 1, "open {\nnever closed", "open {\nnever closed"),
-]
-
-
-@query(values_sql("id, body", *[(i, b) for i, _, _, b in BODIES]))
-def body_window(spark, sf_dir):
-    made = rows(spark, "id long, line int, content string, body string", *BODIES).withColumn("lines", F.split("content", "\n"))
-    return made.select("id", symbols.body_window("lines", "line").alias("body"))
-
-
-SIGNATURES = [
-    ("public async Task<decimal> Total(Order order, bool taxes)", 2, "order,bool", "task<decimal>"),
-    ("export function total(order: Order, taxes: boolean): number {", 2, "order,boolean", "number"),
-    ("int Map(Dictionary<string, int> pairs, int n = 3)", 2, "int>,int", "int"),
-    ("function f(a) {", 1, "", ""),
-    ("export const x = 3", None, "", "="),
-    ("void g()", 0, "", "void"),
-]
-
-
-@query(values_sql("signature, arity, types, returns", *SIGNATURES))
-def signature_shapes(spark, sf_dir):
-    made = rows(spark, "signature string, arity int, types string, returns string", *SIGNATURES).select("signature", S.signature_shape("signature").alias("s"))
-    return made.select("signature", F.col("s.arity").cast("long").alias("arity"), F.array_join("s.types", ",").alias("types"), "s.returns")
-
-
-STATS = [
-    (1, " a/b.ts | 3 ++-\n src/{old => new}/c.cs | 1 +\n 2 files changed, 4 insertions(+)", "a/b.ts src/new/c.cs", 2),
-    (2, " src/{ => deep}/x.md | Bin 0 -> 3 bytes\n 1 file changed", "src/deep/x.md", 1),
-    (3, "", "", 0),
-    (4, " only | 1 +", "only", 1),
-]
-
-
-@query(values_sql("id, files, n", *[(i, f, n) for i, _, f, n in STATS]))
-def files_from_stat(spark, sf_dir):
-    made = rows(spark, "id long, stat string, files string, n int", *STATS)
-    return made.select("id", joined(diff.files_from_stat("stat")).alias("files"), diff.count_stat_files("stat").cast("long").alias("n"))
-
-
 @query("""
 WITH l AS (SELECT doc_id, text, left(text, 1000) AS c FROM documents),
 b AS (SELECT *, strpos(reverse(c), chr(10)) AS back FROM l)
@@ -442,23 +360,6 @@ def greedy_pack_by_source(spark, sf_dir):
     return budget.greedy_pack(docs, ["source"], "doc_id", "n_chars", 48_000).select("source", "doc_id", "kept")
 
 
-RULES = [
-    ("c", 0, "all.md", "always"),
-    ("c", 1, "ts.md", "---\nglobs: src/**/*.ts, \"*.vue\"\n---\nonly scripts"),
-    ("c", 2, "py.md", "---\nglobs: [**/*.py]\n---\nonly python"),
-    ("c", 3, "link.md", None),
-    ("c", 4, "long.md", "x" * 90),
-    ("c", 5, "short.md", "y"),
-]
-
-
-@query(values_sql("path, scope, chars, decision", ("all.md", "", 17, "loaded"), ("ts.md", "src/**/*.ts *.vue", 22, "loaded"), ("py.md", "**/*.py", 21, "out of scope"), ("link.md", "", 0, "unreadable"), ("long.md", "", 102, "budget"), ("short.md", "", 14, "loaded")))
-def rules_packing(spark, sf_dir):
-    touched = rows(spark, "change string, path string", ("c", "src/a/b.ts"), ("c", "README.md"))
-    packed = budget.pack_rules(rows(spark, "change string, ord int, path string, body string", *RULES), touched, 100)
-    return packed.select("path", joined(F.col("scope")).alias("scope"), F.col("chars").cast("long").alias("chars"), "decision")
-
-
 # ------------------------------------------------------------------ settings and tasks
 
 
@@ -490,43 +391,6 @@ def config_effective(spark, sf_dir):
     return out.select("n_nationkey", "model", "blocking", long("attempts").alias("attempts"), long("maxDiffChars").alias("max_diff"), "effort", F.array_join("failOn", ",").alias("fail_on"))
 
 
-RUNS = [
-    (1, "rules, criteria,rules", None, "criteria,rules", "input", ""),
-    (2, "", '{"checks": "tests"}', "criteria,security,rules,quality,duplication,tests", "file", ""),
-    (3, "nope", '{"checks": ["tests"]}', "criteria,security,rules,quality,duplication,tests", "all", "nope"),
-    (4, None, '{"checks": {"tests": {}}}', "criteria,security,rules,quality,duplication,tests", "all", ""),
-    (5, "tests,nope,security", None, "security,tests", "input", "nope"),
-    (6, None, "not json", "criteria,security,rules,quality,duplication,tests", "all", ""),
-]
-
-
-@query(values_sql("id, checks, source, unknown", *[(i, c, s, u) for i, _, _, c, s, u in RUNS]))
-def run_list_resolution(spark, sf_dir):
-    made = rows(spark, "id long, input string, config string, c string, s string, u string", *RUNS)
-    return C.run_list(made.select("id", "input", "config")).select("id", F.array_join("checks", ",").alias("checks"), "source", F.array_join("unknown", ",").alias("unknown"))
-
-
-OPTIONS = [
-    ("openai/x", "rules", "high", '{"openai":{"promptCacheKey":"change-review:rules:r","reasoningEffort":"high"}}'),
-    ("openai/x", "tests", "max", '{"openai":{"reasoningEffort":"high"}}'),
-    ("google/x", "tests", "low", '{"google":{"thinkingConfig":{"thinkingBudget":1024}}}'),
-    ("other/x", "rules", "low", None),
-    ("xai/x", "rules", "odd", None),
-]
-
-
-@query(values_sql("model, check_name, effort, options", *OPTIONS))
-def provider_options(spark, sf_dir):
-    made = rows(spark, "model string, check_name string, effort string, options string", *OPTIONS)
-    return made.select("model", "check_name", "effort", C.provider_options("model", "check_name", F.lit("r"), "effort").alias("options"))
-
-
-@query(values_sql("id, unknown", (1, "colour,checks.tests.speed"), (2, ""), (3, "x,checksConfig.rules.y")))
-def unknown_settings(spark, sf_dir):
-    made = rows(spark, "id long, j string", (1, '{"model":"m","colour":1,"checks":{"tests":{"speed":2,"effort":"max"}}}'), (2, '{"checks":["a"]}'), (3, '{"x":1,"checksConfig":{"rules":{"y":1}}}'))
-    return made.select("id", F.array_join(C.unknown_keys("j"), ",").alias("unknown"))
-
-
 @query("""
 SELECT page_id, 'task' AS mode, CASE WHEN url LIKE '%?%' THEN (page_id + 7)::VARCHAR ELSE page_id::VARCHAR END AS subject_id, CASE WHEN url LIKE '%?%' THEN 'branch' ELSE 'title' END AS source,
  CASE WHEN url LIKE '%?%' THEN page_id || ',' || (page_id + 1) || ',' || (page_id + 2) ELSE (page_id + 1) || ',' || (page_id + 2) || ',9999999' END AS context FROM pages""")
@@ -539,30 +403,8 @@ def task_refs(spark, sf_dir):
     return made.select("page_id", T.task_ref("branch", "title", "body").alias("t")).select("page_id", "t.mode", "t.subject_id", "t.source", F.array_join("t.context_ids", ",").alias("context"))
 
 
-TASKS = [
-    (1, '{"data":{"id":7,"title":"A","description":"<p>x</p>","taskStatus":{"name":" Completadas "},"subTasks":[1,2],"task":{"id":3,"title":"P"}}}', "A", "x", True, False, "P", 2),
-    (2, '{"title":"B","status":"open","incidentOrigin":{"k":1}}', "B", "", False, True, None, 0),
-]
-
-
-@query(values_sql("id, title, description, is_terminal, is_incident, parent, subtasks", *[(i, *r) for i, _, *r in TASKS]))
-def task_records(spark, sf_dir):
-    made = rows(spark, "id long, payload string", *[(i, p) for i, p, *_ in TASKS]).select("id", T.shape_task("payload").alias("t"))
-    return made.select("id", "t.title", "t.description", "t.is_terminal", "t.is_incident", F.col("t.parent.title").alias("parent"), F.col("t.subtasks").cast("long").alias("subtasks"))
-
-
 # ------------------------------------------------------------------ answers and verdicts
 
-ANSWERS = [
-    (1, '{"findings": []}', '{"findings": []}'), (2, 'Sure:\n```json\n{"findings": []}\n```', '{"findings": []}'), (3, 'I think {"findings": []} it is', '{"findings": []}'),
-    (4, '{"findings": [', None), (5, "no", None), (6, "", None), (7, None, None),
-]
-
-
-@query(values_sql("id, answer", *[(i, a) for i, _, a in ANSWERS]))
-def json_recovery(spark, sf_dir):
-    return rows(spark, "id long, text string, a string", *ANSWERS).select("id", verdicts.extract_json("text").alias("answer"))
-
 
 @query("""
 SELECT conv_id, min(turn) AS turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS attempt FROM conversations WHERE role = 'assistant')
@@ -651,71 +493,12 @@ def latest_upsert(spark, sf_dir):
     return verdicts.keyed_upsert(views, events.where("event_type <> 'view'"), "user_id", "event_id")
 
 
-COMMENTS = [("a", 1, "me", "hello"), ("a", 2, "other", f"{verdicts.MARKER} x"), ("a", 5, "me", f"{verdicts.MARKER} y"), ("a", 4, "me", f"{verdicts.MARKER} z"), ("b", 9, "other", f"{verdicts.MARKER} w")]
-
-
-@query(values_sql("change, action, id", ("a", "updated", 4), ("b", "created", None), ("c", "created", None)))
-def comment_upsert(spark, sf_dir):
-    existing = rows(spark, "change string, id long, login string, body string", *COMMENTS)
-    return verdicts.upsert_comments(existing, rows(spark, "change string, body string", ("a", "1"), ("b", "2"), ("c", "3")), "me").select("change", "action", "id")
-
-
-CONTEXTS = [
-    ("tests", False, False, 0, True, 3, 0, "", False, None, None, "no code"), ("tests", False, False, 2, False, 0, 0, "", False, None, None, "no test suite"), ("tests", False, False, 2, True, 0, 0, "", False, None, None, "nothing untested"),
-    ("tests", False, False, 2, True, 1, 0, "", False, None, None, None), ("duplication", False, False, 2, None, None, 0, "", False, None, None, "no similar symbols"), ("rules", False, False, 0, None, None, None, "", True, None, None, "rules budget exhausted"),
-    ("rules", False, False, 0, None, None, None, "", False, None, None, "no rules"), ("criteria", False, False, 0, None, None, None, None, None, "none", None, "no task"), ("criteria", False, False, 0, None, None, None, None, None, "task", False, "task unavailable"),
-    ("criteria", False, True, 0, None, None, None, None, None, "task", True, None), ("security", True, False, 1, None, None, None, None, None, None, None, "fork"), ("security", False, True, 0, None, None, None, None, None, None, None, "empty diff"), ("odd", False, False, 1, None, None, None, None, None, None, None, "unknown check"),
-]
-
-
-@query(values_sql("id, reason", *[(i, c[-1]) for i, c in enumerate(CONTEXTS)]))
-def short_circuits(spark, sf_dir):
-    schema = "id long, check string, is_fork boolean, diff_empty boolean, code_files int, has_suite boolean, orphans int, findings int, rules_text string, budget_exhausted boolean, task_mode string, has_task boolean, expected string"
-    made = rows(spark, schema, *[(i, *c) for i, c in enumerate(CONTEXTS)]).withColumn("blocking", F.lit(True))
-    return verdicts.short_circuit(made).select("id", F.col("early.reason").alias("reason"))
-
-
-RENDERED = [
-    ("security", '{"overall":"PASS","findings":[{"severity":"high","issue":"a|b","location":"x:1","recommendation":" fix "},{"severity":"low","issue":"c","location":"y:2"}]}', "FAIL", "S1/a\\|b/ALTA/x:1 S2/c/BAJA/y:2", 2, None),
-    ("rules", '{"overall":"FAIL","rules":[{"rule":"r","status":"na"},{"rule":"s","status":"ok","evidence":"e"}]}', "PASS", "R1/s/OK/e", 0, "note"),
-    ("criteria", '{"overall":"PASS","criteria":[{"id":"C1","criterion":"k","verdict":"partial","evidence":"f:1"}]}', "FAIL", "C1/k/PARCIAL/f:1", 1, None),
-    ("criteria", '{"correspondence":"mismatch","correspondenceReason":"no"}', "FAIL", "REF/Los cambios no corresponden a la tarea referenciada/NO CORRESPONDE/", 1, None),
-    ("tests", '{"symbols":[{"symbol":"f","location":"p:3","verdict":"not_needed"}]}', "PASS", "T1/f/NO APLICA/p:3", 0, None),
-    ("duplication", '{"findings":[{"symbol":"f","existing":"g","location":"p:3","existingLocation":"q:4","verdict":"duplicate"}]}', "FAIL", "D1/f ↔ g/DUPLICA/p:3 ↔ q:4", 1, None),
-    ("quality", '{"rules":[]}', None, None, None, None),
-]
-
-
-@query(values_sql("id, overall, rows, details, note", *[(i, o, r, d, n) for i, (_, _, o, r, d, n) in enumerate(RENDERED)]))
-def render_answers(spark, sf_dir):
-    made = rows(spark, "id long, check string, answer string", *[(i, c, a) for i, (c, a, *_) in enumerate(RENDERED)])
-    made = made.withColumns({"fail_on": F.lit(None).cast("array<string>"), "mode": F.lit(None).cast("string"), "task_id": F.lit(None).cast("string")})
-    out = verdicts.render(made)
-    shown = F.array_join(F.transform("rows", lambda r: F.concat_ws("/", r["id"], r["label"], r["verdict"], r["evidence"])), " ")
-    return out.select("id", "overall", shown.alias("rows"), F.when(F.col("details").isNotNull(), F.size("details")).cast("long").alias("details"), F.when(F.col("note").isNotNull(), F.lit("note")).alias("note"))
-
-
 @query("SELECT page_id, i AS line FROM (SELECT page_id, unnest(l) AS t, generate_subscripts(l, 1) AS i FROM (SELECT page_id, string_split(html, chr(10)) AS l FROM pages)) WHERE regexp_matches(t, '(?i)track\\([0-9]+\\)')")
 def corpus_lint(spark, sf_dir):
     found = lint.forbidden_terms(table(spark, sf_dir, "pages"), [r"track\([0-9]+\)"], "page_id", "html")
     return found.select(F.col("path").alias("page_id"), F.col("line").cast("long").alias("line"))
 
 
-PROMPTS = [("rules", "r", None, None), ("rules", "", None, "needs rules"), ("tests", None, None, "needs candidates"), ("tests", None, "## s", None), ("criteria", None, None, "needs a task or criteria"), ("odd", None, None, "unknown check")]
-
-
-@query(values_sql("id, error, prompted", *[(i, e, e is None) for i, (_, _, _, e) in enumerate(PROMPTS)]))
-def prompt_inputs(spark, sf_dir):
-    """Which checks have what their prompt must show."""
-    from .prompts import build_prompts
-
-    made = rows(spark, "id long, check string, rules_text string, section string, e string", *[(i, *p) for i, p in enumerate(PROMPTS)])
-    for c in ("header", "stat", "diff_section", "task_title", "task_description", "pr_title", "pr_body"):
-        made = made.withColumn(c, F.lit(None if c.startswith("task") else c).cast("string"))
-    out = build_prompts(made.withColumn("block_id", F.lit("1")).withColumn("criteria", F.lit(None).cast("array<string>")))
-    return out.select("id", "error", F.col("prompt").isNotNull().alias("prompted"))
-
-
 @query("SELECT page_id, i AS line, v AS pin FROM (SELECT page_id, unnest(l) AS t, generate_subscripts(l, 1) AS i FROM (SELECT page_id, string_split(html, chr(10)) AS l FROM pages)), (SELECT 1), LATERAL (SELECT unnest(regexp_extract_all(t, 'track\\(([0-9]+)\\)', 1)) AS v) WHERE v <> '7'")
 def version_pins(spark, sf_dir):
     """Numbers in the pages' scripts as pins: those of another major number than 7."""
@@ -731,27 +514,3 @@ def not_scanned(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     low = docs.join(table(spark, sf_dir, "labels").where("quality = 0"), "doc_id").select("source").distinct()
     return lint.not_scanned(docs.select("source"), low, "source")
-
-
-@query(f"""
-WITH n AS (SELECT page_id, {_PATH_SQL} AS path FROM pages), g AS (SELECT page_id % 25 AS change, path, regexp_extract(path, '[^/]*$') AS name FROM n)
-SELECT change, count(*) AS files, count(*) FILTER (WHERE code) AS code, bool_or(code) AS has_code
-FROM (SELECT change, name <> '' AND NOT regexp_matches(name, '(?i)\\.(md|markdown|txt|rst|adoc|png|jpe?g|gif|svg|webp|ico|bmp|pdf|woff2?|ttf|eot|mp4|mov|zip|gz)$') AS code FROM g) GROUP BY change""")
-def classified_files(spark, sf_dir):
-    """Pages as files of 25 changes."""
-    marked = url_paths(spark, sf_dir).select((F.col("page_id") % 25).alias("change"), P.is_code_file("path").alias("code"))
-    return marked.groupBy("change").agg(F.count(F.lit(1)).alias("files"), F.count_if("code").alias("code"), F.bool_or("code").alias("has_code"))
-
-
-CONFIGS = [(1, None, "{}", False, None), (2, '{"model": "m"}', '{"model": "m"}', True, None), (3, "{broken", "{}", True, "no JSON: ignored"), (4, "[1]", "{}", True, "no JSON object: ignored"), (5, '{"colour": 1}', '{"colour": 1}', True, "without effect: colour")]
-
-
-@query(values_sql("id, config, present, note", *[(i, *r) for i, _, *r in CONFIGS]))
-def repo_configs(spark, sf_dir):
-    made = rows(spark, "id long, content string", *[(i, c) for i, c, *_ in CONFIGS])
-    return made.select("id", C.repo_config("content").alias("c")).select("id", "c.*")
-
-
-@query(values_sql("name, pos, fail_on, needs_code", *[(c, i, ",".join(C.SHIPPED[c]["failOn"]), c not in ("criteria", "rules")) for i, c in enumerate(C.CHECKS)]))
-def check_registry(spark, sf_dir):
-    return C.check_table(spark).select(F.col("check").alias("name"), F.col("pos").cast("long").alias("pos"), F.array_join("fail_on", ",").alias("fail_on"), "needs_code")

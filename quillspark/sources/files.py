@@ -7,10 +7,9 @@ import os
 import stat
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-RULE_FILE = (".md", ".mdc", ".txt")
 # Where rules are looked for, in order.
 RULE_SOURCES = [
     ("dir", ".claude/rules", "reglas del proyecto"),
@@ -37,18 +36,24 @@ def is_regular_within(path: str | os.PathLike, root: str | os.PathLike) -> bool:
 def tree_files(spark: SparkSession, root: str, paths: list[str] | None = None, most_chars: int | None = None) -> DataFrame:
     """path (inside the root), content, refused. A given listing is guarded on the driver;
     contents are read by the executors, whole files of any size; with ``most_chars``, files
-    of more than four bytes for each are left out."""
+    of more than four bytes for each have no content and count as refused."""
     top = Path(root)
     listed = paths if paths is not None else sorted(str(p.relative_to(top)) for p in top.rglob("*") if ".git" not in p.parts and (p.is_symlink() or p.is_file()))
-    good = [p for p in listed if is_regular_within(top / p, top)]
-    refused = spark.createDataFrame([(p, None, True) for p in listed if p not in set(good)], "path string, content string, refused boolean")
+    good = [p for p in listed if is_regular_within(top / p, top) and (most_chars is None or (top / p).stat().st_size <= 4 * most_chars)]
+    kept = set(good)
+    refused = spark.createDataFrame([(p, None, True) for p in listed if p not in kept], "path string, content string, refused boolean")
     if not good:
         return refused
+    # readers pass over names that start with a dot or an underscore: settings, a few
+    hidden = [p for p in good if Path(p).name[0] in "._"]
+    own = [(p, (top / p).read_text(errors="replace"), False) for p in hidden]
+    out = refused.unionByName(spark.createDataFrame(own, refused.schema))
+    if len(hidden) == len(good):
+        return out
     prefix = f"file:{top.resolve()}/"
-    read = spark.read.text([f"file:{top.resolve() / p}" for p in good], wholetext=True).select(F.col("_metadata.file_path").alias("at"), F.col("_metadata.file_size").alias("size"), F.col("value").alias("content"))
+    read = spark.read.text([f"file:{top.resolve() / p}" for p in good if p not in set(hidden)], wholetext=True).select(F.col("_metadata.file_path").alias("at"), F.col("value").alias("content"))
     path = F.expr(f"substring(url_decode(replace(at, 'file:///', 'file:/')), {len(prefix) + 1})")
-    read = read if most_chars is None else read.where(F.col("size") <= 4 * most_chars)
-    return read.select(path.alias("path"), "content", F.lit(False).alias("refused")).unionByName(refused)
+    return read.select(path.alias("path"), "content", F.lit(False).alias("refused")).unionByName(out)
 
 
 def patches(spark: SparkSession, location: str) -> DataFrame:
@@ -56,27 +61,36 @@ def patches(spark: SparkSession, location: str) -> DataFrame:
     return spark.read.text(location, wholetext=True, recursiveFileLookup=True).select(F.substring_index(F.col("_metadata.file_path"), "/", -1).alias("id"), F.col("value").alias("patch"))
 
 
+def raw_text(path: str | os.PathLike, root: str | os.PathLike) -> str:
+    """The text of a file inside a root; a path that leads out of it is refused."""
+    if not is_regular_within(path, root):
+        raise ValueError(f"{path} is no regular file inside {root}")
+    return Path(path).read_text(encoding="utf-8")
+
+
+def discovered_rules(listing: DataFrame, sources: list[tuple[str, str, str]] = RULE_SOURCES) -> DataFrame:
+    """listing: change, path, content, refused. The rule files of each change: change, ord,
+    path, origin, body (null if refused), found (its path in the listing). Sources come in
+    their order, a folder's files by path; a file that several sources hold counts for the
+    first."""
+    found = None
+    for place, (kind, where, origin) in enumerate(sources):
+        inside = F.col("path").startswith(f"{where}/") & F.col("path").rlike(r"(?i)\.(md|mdc|txt)\z") if kind == "dir" else F.col("path") == where
+        name = F.expr(f"substring(path, {len(where) + 2})") if kind == "dir" else F.col("path")
+        part = listing.where(inside).select("change", F.lit(place).alias("place"), name.alias("name"), F.lit(origin).alias("origin"), "content", "refused", F.col("path").alias("found"))
+        found = part if found is None else found.unionByName(part)
+    first = Window.partitionBy("change", "found").orderBy("place")
+    once = found.withColumn("r", F.row_number().over(first)).where("r = 1")
+    ord_ = F.row_number().over(Window.partitionBy("change").orderBy("place", "found")) - 1
+    body = F.when(~F.coalesce("refused", F.lit(False)), F.regexp_replace("content", r"(?U)\A\s+|\s+\z", ""))
+    return once.select("change", ord_.alias("ord"), F.col("name").alias("path"), "origin", body.alias("body"), "found")
+
+
 def rule_files(spark: SparkSession, root: str, change: str = "") -> DataFrame:
     """change, ord, path, origin, body (null if the file is refused): rule files in the
     order of their sources, each once."""
-    top, seen, rows = Path(root), set(), []
-
-    def walk(folder: Path) -> list[Path]:
-        try:
-            entries = sorted(folder.iterdir(), key=lambda p: p.name)
-        except OSError:
-            return []
-        return [f for e in entries for f in (walk(e) if e.is_dir() and not e.is_symlink() else [e] if e.suffix.lower() in RULE_FILE else [])]
-
-    for kind, place, origin in RULE_SOURCES:
-        base = top / place
-        found = [(f, f.relative_to(base).as_posix()) for f in walk(base)] if kind == "dir" else [(base, place)] if os.path.lexists(base) else []
-        for file, name in found:
-            if file not in seen:
-                seen.add(file)
-                body = file.read_text(errors="replace").strip() if is_regular_within(file, top) else None
-                rows.append((change, len(rows), name, origin, body))
-    return spark.createDataFrame(rows, "change string, ord int, path string, origin string, body string")
+    files = tree_files(spark, root).withColumn("change", F.lit(change))
+    return discovered_rules(files).select("change", "ord", "path", "origin", "body")
 
 
 def json_files(spark: SparkSession, location: str) -> DataFrame:
@@ -93,3 +107,11 @@ def verdict_scan(spark: SparkSession, location: str) -> DataFrame:
 
     read = json_files(spark, location).select("path", F.from_json("text", VERDICT).alias("v")).select("path", "v.*")
     return read.where(is_valid("check", "status", "rows", "details"))
+
+
+def verdict_lines(spark: SparkSession, location: str) -> DataFrame:
+    """Valid verdicts of JSON files that hold one to a line, as they are written here."""
+    from ..operators.verdicts import is_valid
+
+    read = spark.read.text(location, recursiveFileLookup=True).select(F.from_json("value", VERDICT).alias("v")).select("v.*")
+    return read.where(is_valid("check", "status", "rows", "details"))
