@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidy
+from .common import quoted, tidy
 from .words import first_places, hash_spans, ragged
 
 MARK = "▁"
@@ -276,7 +276,7 @@ def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))], names=["doc_id", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(tidy(run), "doc_id long, ids array<int>")
+    return docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).alias("text")).mapInArrow(tidy(run), "doc_id long, ids array<int>")
 
 
 def decode_pieces(encoded: DataFrame, model: str) -> DataFrame:
@@ -306,7 +306,7 @@ def round_trips(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: s
                 kinds = [*[pa.int64()] * 4, pa.bool_()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(tidy(run), OUT)
+    return docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).alias("text")).mapInArrow(tidy(run), OUT)
 
 
 def encode_and_check(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -324,4 +324,4 @@ def encode_and_check(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
                 ids = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(packed), "<i4")))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(sizes), ids, pa.array(same)], names=["doc_id", "n_pieces", "ids", "round_trip"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(tidy(run), "doc_id long, n_pieces long, ids array<int>, round_trip boolean")
+    return docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).alias("text")).mapInArrow(tidy(run), "doc_id long, n_pieces long, ids array<int>, round_trip boolean")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import quoted, save
 from .words import Words, classes, first_places, ragged
 
 BLOCK = 1 << 16
@@ -248,17 +248,21 @@ def chunks_of(path: str) -> _Chunks:
     return _tokenizers[path]
 
 
-SHARDS = "first_doc long, seq int, n_docs long, n_tokens long, file binary"
+SHARDS = "first_doc long, part int, seq int, n_docs long, n_tokens long, file binary"
 
 
 def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """One row per shard file, ordered by (first_doc, seq); no id is left out.
+    """One row per shard file, ordered by (part, seq); no id is left out.
 
-    The one shuffle deals whole texts by ranges of the id; a range's documents are then
-    encoded and cut into shards in one pass, so a task holds one shard at a time."""
+    The one shuffle deals whole texts by ranges of the id, and rows of one id (or without
+    one) by the beginning of their text and their place, so that none is one task's work; a
+    range's documents are then encoded and cut into shards in one pass, so a task holds one
+    shard at a time."""
 
     def run(batches):
-        chunks, seq = chunks_of(tokenizer), 0
+        from pyspark import TaskContext
+
+        chunks, seq, part = chunks_of(tokenizer), 0, TaskContext.get().partitionId()
         tail = np.array([end_id], chunks.dtype).tobytes()
         doc_ids, lengths, parts, held = [], [], [], 0
 
@@ -266,8 +270,8 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str =
             ids = np.frombuffer(b"".join(parts), chunks.dtype)
             data = build_shard(ids, doc_ids, lengths, chunks.vocab)
             return pa.RecordBatch.from_arrays(
-                [pa.array([doc_ids[0]], pa.int64()), pa.array([seq], pa.int32()), pa.array([len(doc_ids)], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([data], pa.binary())],
-                names=["first_doc", "seq", "n_docs", "n_tokens", "file"],
+                [pa.array([doc_ids[0]], pa.int64()), pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(doc_ids)], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([data], pa.binary())],
+                names=["first_doc", "part", "seq", "n_docs", "n_tokens", "file"],
             )
 
         for batch in batches:
@@ -286,7 +290,8 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str =
         if doc_ids:
             yield shard()
 
-    ranged = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id")
+    rows = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).alias("text"))
+    ranged = rows.repartitionByRange("doc_id", F.substring("text", 1, 64), F.monotonically_increasing_id())
     return ranged.sortWithinPartitions("doc_id", "text").mapInArrow(run, SHARDS)
 
 
@@ -295,7 +300,7 @@ def read_documents(shards: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for first, seq, data in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for part, seq, data in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 doc_ids, starts, lengths, sums = [], [], [], []
                 for doc_id, start, ids in WaveletShard(data).documents():
                     doc_ids.append(doc_id)
@@ -303,15 +308,15 @@ def read_documents(shards: DataFrame) -> DataFrame:
                     lengths.append(len(ids))
                     sums.append(zlib.crc32(ids.astype("<u4").tobytes()))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([f"{first}:{seq}"] * len(doc_ids)), *(pa.array(x, pa.int64()) for x in (doc_ids, starts, lengths, sums))],
-                    names=["shard", "doc_id", "inside", "n_tokens", "ids_crc32"],
+                    [pa.array([part] * len(doc_ids), pa.int32()), pa.array([seq] * len(doc_ids), pa.int32()), *(pa.array(x, pa.int64()) for x in (doc_ids, starts, lengths, sums))],
+                    names=["part", "seq", "doc_id", "inside", "n_tokens", "ids_crc32"],
                 )
 
-    rows = shards.select("first_doc", "seq", "file").mapInArrow(run, "shard string, doc_id long, inside long, n_tokens long, ids_crc32 long")
+    rows = shards.select("part", "seq", "file").mapInArrow(run, "part int, seq int, doc_id long, inside long, n_tokens long, ids_crc32 long")
     # one small row per shard of about two million ids; the files themselves do not move
-    before = F.sum("n_tokens").over(Window.orderBy(F.col("first_doc").asc_nulls_first(), "seq").rowsBetween(Window.unboundedPreceding, -1))
-    starts = shards.select(F.concat_ws(":", F.coalesce(F.col("first_doc").cast("string"), F.lit("None")), "seq").alias("shard"), F.coalesce(before, F.lit(0)).alias("base"))
-    return rows.join(starts, "shard").select("doc_id", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
+    before = F.sum("n_tokens").over(Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1))
+    starts = shards.select("part", "seq", F.coalesce(before, F.lit(0)).alias("base"))
+    return rows.join(starts, ["part", "seq"]).select("doc_id", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def encode_and_read(docs: DataFrame, tokenizer: str) -> DataFrame:

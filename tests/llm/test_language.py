@@ -82,3 +82,49 @@ def test_pages_are_read_by_one_scan():
     assert time.time() - start < 30
     assert language.declared_language(b"<HTML><html class=x lang='pt-BR'>") == "pt-BR" and language.declared_language(b"<htmlx lang=de><html lang=fr") == "fr"
     assert language.declared_language(b"<p lang=de>") is None
+
+
+def brute_fuse(rows, floor=0.5):
+    """rows: id, ll, declared, address, host, domain. All evidence by plain sums and products."""
+    langs = list(language.LANGUAGES)
+
+    def value(v):
+        v = (v or "").strip().split("-")[0].split("_")[0].lower()
+        return None if not v else v if v in langs else "other"
+
+    votes = [langs[max(range(4), key=lambda i: (r[1][i], -i))] if r[1] else None for r in rows]
+    overall = {lang: votes.count(lang) for lang in langs}
+    n = sum(overall.values())
+    top = [(overall[lang] + 1) / (n + 4) for lang in langs]
+
+    def reliability(column):
+        seen = [(value(r[column]), v) for r, v in zip(rows, votes) if v and value(r[column])]
+        return {x: [(seen.count((x, lang)) + (2.0 if x == lang else 0.5)) / (sum(v == lang for _, v in seen) + 0.5 * 5 + 1.5) for lang in langs] for x in [*langs, "other"]}
+
+    declared, address, out = reliability(2), reliability(3), []
+    for r, vote in zip(rows, votes):
+        at = lambda column, key: [sum(v == lang for s, v in zip(rows, votes) if v and s[column] == key and s[4] is not None) - (vote == lang) if key is not None or column == 5 else 0 for lang in langs]  # noqa: E731, B023
+        host = at(4, r[4]) if r[4] is not None else [0] * 4
+        domain = at(5, r[5]) if r[4] is not None else [0] * 4
+        host, domain = [max(x, 0) for x in host], [max(x, 0) for x in domain]
+        k = language.STRENGTH
+        p = [(x + k * t) / (sum(domain) + k) for x, t in zip(domain, top)]
+        p = [(x + k * t) / (sum(host) + k) for x, t in zip(host, p)]
+        w = [math.log(a) + (r[1][i] if r[1] else 0) + (math.log(declared[value(r[2])][i]) if value(r[2]) else 0) + (math.log(address[value(r[3])][i]) if value(r[3]) else 0) for i, a in enumerate(p)]
+        mass = sum(math.exp(x - max(w)) for x in w)
+        silent = not r[1] and not value(r[2]) and not value(r[3]) and sum(domain) == 0
+        out.append((r[0], "und" if 1 / mass < floor or silent else langs[w.index(max(w))], 1 / mass))
+    return out
+
+
+def test_fuse_equals_brute_force(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(300):
+        ll = None if rng.random() < 0.2 else [round(-3 * rng.random(), 3) for _ in range(4)]
+        host = None if rng.random() < 0.1 else f"h{rng.randrange(6)}.d{rng.randrange(3)}.com"
+        rows.append((i, ll, rng.choice([None, "", "de", "EN-us", "fr_FR", "pt", " es "]), rng.choice([None, "de", "en", "es", "fr"]), host, host and host.partition(".")[2]))
+    got = {r.id: (r.language, r.posterior) for r in language.fuse(spark.createDataFrame(rows, language.EVIDENCE_SCHEMA)).collect()}
+    for i, name, posterior in brute_fuse(rows):
+        assert math.isclose(got[i][1], posterior, rel_tol=1e-9), i
+        assert got[i][0] == name

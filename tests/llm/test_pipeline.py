@@ -79,3 +79,16 @@ def test_empty_documents(spark, world):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, path).count() == 0
     assert stages.sized(none) is not None
+
+
+def test_stages_by_shuffling(spark, world, monkeypatch):
+    path, _, _ = world
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    docs = docs.toDF(*docs.columns[:-1], "rejected_key").withColumnRenamed("n_chars", "n.chars")
+    for stage in (stages.language, stages.near_duplicates):
+        sent = stage(spark, docs, path)
+        assert sent.columns == docs.columns
+        rows = sorted(map(str, sent.collect()))
+        with monkeypatch.context() as m:
+            m.setattr(stages, "BROADCAST_ROWS", -1)
+            assert sorted(map(str, stage(spark, docs, path).collect())) == rows

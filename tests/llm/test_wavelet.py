@@ -46,3 +46,25 @@ def test_many_shards_and_empty_table(spark):
     rows = sorted(wavelet.read_documents(shards).collect())
     assert [r.start for r in rows] == [4 * i for i in range(100)]
     assert wavelet.encode_and_read(df.limit(0), PATH).count() == 0
+
+
+def test_one_id_for_most_rows(spark):
+    """Rows without an id, or of one id, go to several ranges, and starts still add up."""
+    texts = [f"text {i % 7} " * (i % 5) for i in range(300)]
+    rows = [(None if i % 3 else 8, t, "") for i, t in enumerate(texts)] + [(i, "x", "") for i in range(20)]
+    df = spark.createDataFrame(rows, "`doc.id` long, `te``xt` string, part string").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        shards = wavelet.save(wavelet.write_shards(df, PATH, id_col="doc.id", text_col="te`xt", shard_tokens=100), "shards")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len({r.part for r in shards.select("part").collect()}) > 1
+    got = wavelet.read_documents(shards).collect()
+    assert sorted(str(r.doc_id) for r in got) == sorted(str(r[0]) for r in rows)
+    by_start = sorted(got, key=lambda r: r.start)
+    at = 0
+    for r in by_start:
+        assert r.start == at
+        at += r.n_tokens
+    ids = [-1 if r.doc_id is None else r.doc_id for r in by_start]
+    assert ids == sorted(ids)
