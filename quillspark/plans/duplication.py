@@ -26,7 +26,7 @@ def features(symbols: DataFrame) -> DataFrame:
 def duplication(patches: DataFrame, files: DataFrame, threshold: float = THRESHOLD, k: int = CANDIDATES) -> DataFrame:
     """patches: id, patch. files: path, content of the changed tree. Findings: a, b (keys
     path:line:name), scores, rank, introduced_here."""
-    index = symbol_index(files)
+    index = stored(symbol_index(files), "index")
     added = symbols_of_lines(diff_lines(patches, "id", "patch")).where("exported")
     new = introduced(added.select("ord", "path", "line", "name"), index).drop("a_ord")
     comparable = lambda df: df.where(~is_excluded_symbol("path", "kind", "name"))

@@ -251,10 +251,9 @@ SELECT item_id, doc_id, count(*) AS shared, count(*) / any_value(least(q.n, p.n)
 GROUP BY item_id, doc_id HAVING count(*) / any_value(least(q.n, p.n))::DOUBLE >= 0.55""")
 def benchmark_contamination(spark, sf_dir):
     """Benchmark items that documents hold: only shingles of items are counted."""
-    q = pairs.postings(word_sets(table(spark, sf_dir, "benchmark"), "item_id"), "item_id", "grams").select(F.col("id").alias("item_id"), F.col("n").alias("qn"), "token")
-    p = pairs.postings(word_sets(table(spark, sf_dir, "documents")), "doc_id", "grams").select(F.col("id").alias("doc_id"), F.col("n").alias("pn"), "token")
-    met = q.join(p, "token").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("shared"), F.first(F.least("qn", "pn")).alias("n"))
-    return met.withColumn("containment", F.col("shared") / F.col("n")).where(F.col("containment") >= S.THRESHOLD).select("item_id", "doc_id", "shared", "containment")
+    items, docs = word_sets(table(spark, sf_dir, "benchmark"), "item_id"), word_sets(table(spark, sf_dir, "documents"))
+    met = pairs.contained_sets(items, docs, "item_id", "doc_id", "grams", S.THRESHOLD)
+    return met.select(F.col("item").alias("item_id"), F.col("id").alias("doc_id"), "shared", "containment")
 
 
 # ------------------------------------------------------------------ paths

@@ -731,3 +731,20 @@ def prompt_sections(spark, sf_dir):
     pairs = one.select("change", F.col("i").alias("ord"), (F.col("i") % 2 == 0).alias("introduced_here"), F.lit(0.75).alias("score"), F.lit(0.5).alias("name_score"), F.lit(0.25).alias("signature_score"), F.lit(1.0).alias("body_score"), new.alias("a"), old.alias("b"))
     c = prompts.candidate_sections(orphans).withColumnRenamed("section", "c")
     return c.join(prompts.pair_sections(pairs), "change").select("change", md5("c").alias("candidates"), md5("section").alias("pairs"))
+
+
+@query(f"""WITH {_ANSWERED}, s AS (SELECT k, CASE WHEN overall IS NULL THEN 'tool-error' ELSE lower(overall) END AS status, overall IS NOT NULL AND k % 3 > 0 AND overall = 'FAIL' AS blocks FROM w)
+SELECT k, 'status=' || status AS line FROM s UNION ALL SELECT k, 'blocking-failure=' || blocks::VARCHAR FROM s""")
+def verdict_outputs(spark, sf_dir):
+    """The key=value lines that a run hands on."""
+    out = rendered(spark, sf_dir).withColumns({"early": F.lit(None).cast("struct<status:string,blocking:boolean,reason:string>"), "blocking": F.col("k") % 3 > 0})
+    lines = sinks.output_lines(verdicts.make_verdicts(out).withColumn("check", F.col("k")))
+    return lines.select(F.col("check").alias("k"), "line")
+
+
+@query(f"WITH c AS ({given(COMMENTS)}) SELECT DISTINCT change, 'report ' || change AS body FROM c")
+def dry_run(spark, sf_dir):
+    """Without a service to send to, publishing gives the bodies."""
+    existing = made(spark, sf_dir, COMMENTS)
+    reports = existing.select("change").distinct().withColumn("body", F.concat(F.lit("report "), F.col("change").cast("string")))
+    return sinks.publish(verdicts.upsert_comments(existing, reports, "me"))

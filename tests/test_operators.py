@@ -255,3 +255,15 @@ def test_context_notes(spark):
     df = spark.createDataFrame([(["a"], ["attempts: 9"], ["r"], True, "cut", True), (None, None, None, None, None, None)], "config_notes array<string>, refused array<string>, rules_notes array<string>, criteria_ignored boolean, diff_note string, index_truncated boolean")
     got = [r.notes for r in prompts.context_notes(df).collect()]
     assert len(got[0]) == 6 and got[0][0] == "a" and "attempts: 9" in got[0][1] and got[0][3:5] == ["cut", "r"] and got[1] == []
+
+
+def test_contained_sets_on_both_sides_of_the_bound(spark):
+    import random
+
+    rng = random.Random(3)
+    items = [(i, [f"w{rng.randrange(30)}" for _ in range(rng.randrange(1, 8))]) for i in range(20)]
+    docs = [(i, [f"w{rng.randrange(30)}" for _ in range(rng.randrange(0, 15))]) for i in range(60)]
+    want = sorted((i, d, len(set(a) & set(b)), len(set(a) & set(b)) / min(len(set(a)), len(set(b)))) for i, a in items for d, b in docs if b and len(set(a) & set(b)) / min(len(set(a)), len(set(b))) >= 0.55)
+    i, d = spark.createDataFrame(items, "i int, t array<string>"), spark.createDataFrame(docs, "d int, t array<string>")
+    for most in (1 << 20, 0):
+        assert sorted(map(tuple, pairs.contained_sets(i, d, "i", "d", "t", 0.55, most).collect())) == want
