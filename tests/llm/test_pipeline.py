@@ -1,10 +1,13 @@
 import random
 import re
+from collections import Counter
 
 import pytest
+from test_language import brute_fuse
+from test_mixing import expected_targets
 
 import corpus_pipeline
-from quillspark.llm import stages
+from quillspark.llm import language, stages
 from quillspark.llm.queries import QUERIES
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, quality string"
@@ -35,6 +38,31 @@ def world(spark, tmp_path_factory):
     return str(path), rows, clean
 
 
+def assert_language(before, kept):
+    """The rows that stay are those that a plain version of the fusion names."""
+    rows = before.collect()
+    model = language.train(before, "text", "lang")
+    evidence = [(i, language.likelihoods((r.text or "").encode(), model), r.lang, None, r.source, r.source) for i, r in enumerate(rows)]
+    named = {i for i, name, _ in brute_fuse(evidence) if name != "und"}
+    assert Counter(map(str, kept.collect())) == Counter(str(r) for i, r in enumerate(rows) if i in named)
+
+
+def assert_mix(before, kept):
+    """Each source's words come near its target, no row stays more than twice, none is new."""
+    size = lambda r: len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))
+    rows, out = before.collect(), kept.collect()
+    total, largest, got = Counter(), Counter(), Counter()
+    for r in rows:
+        total[r.source] += size(r)
+        largest[r.source] = max(largest[r.source], size(r))
+    for r in out:
+        got[r.source] += size(r)
+    for source, target in expected_targets(dict(total)).items():
+        assert abs(got[source] - target) <= 2 * largest[source]
+    had, has = Counter(map(str, rows)), Counter(map(str, out))
+    assert all(has[r] <= 2 * had[r] for r in has) and all(has[str(r)] == had[str(r)] for r in rows if not size(r))
+
+
 def test_stages(spark, world):
     path, rows, clean = world
     docs = spark.read.parquet(f"{path}/documents.parquet")
@@ -48,6 +76,9 @@ def test_stages(spark, world):
             assert clean <= ids and not {i for i in range(400) if i % 8 == 7} & ids
         elif name == "language":
             assert clean <= ids and 901 not in ids
+            assert_language(before, kept)
+        elif name == "mix":
+            assert_mix(before, kept)
         elif name == "near_duplicates":
             gone = {i for i in range(400) if i % 8 == 5 and near(rows[i][1], rows[i - 1][1])} | {900}
             assert clean <= ids and not gone & ids
