@@ -40,7 +40,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import U64, drop, mix64, quoted, save, tidy
@@ -50,6 +50,9 @@ GROUP_TOKENS = 1 << 20
 VISIT_TOKENS = 1 << 22
 REGROUPINGS = 3
 LOOKED_AT = 3
+SAMPLED = 64  # of so many classes one is sampled to find parts that very many have
+HOT = 8  # sampled classes that have such a part, at least
+HOT_PARTS = 1 << 20
 #: Tables of keys that are sent to all executors are no larger than this; larger ones are
 #: joined by shuffling. All other joins are left to the planner.
 BROADCAST_BYTES = 16 << 20
@@ -355,6 +358,25 @@ def _visits(marks: DataFrame, grouped: DataFrame, needs: DataFrame) -> DataFrame
     return own.unionByName(met.join(needs, ["rep", "scheme"]).where("met >= need").select("rep", "to")).distinct()
 
 
+def _shared(marks: DataFrame) -> DataFrame:
+    """marks with ``columns``, the classes that have the part, where these are two or more.
+
+    Nearly all parts are of one class, and marks are counted where they meet, after one
+    shuffle. A part that very many classes have would meet in one task: such parts are found
+    in a sample (by classes, so each shows in proportion) and counted by partial sums; what
+    the sample misses is counted all the same. At most ``HOT_PARTS`` of them are sent."""
+    seen = marks.where(F.pmod(F.xxhash64("rep"), F.lit(SAMPLED)) == 0).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    seen = save(seen.where("n > 1"), "sampled")
+    total = seen.agg(F.sum("n")).first()[0] or 0
+    hot = save(seen.where(F.col("n") > max(HOT, total // HOT_PARTS)).select("part"), "hot")
+    often = save(marks.join(F.broadcast(hot), "part", "left_semi"), "often")
+    counts = F.broadcast(often.groupBy("part").agg(F.count(F.lit(1)).alias("columns")))
+    seldom = marks.join(F.broadcast(hot), "part", "left_anti").withColumn("columns", F.count(F.lit(1)).over(Window.partitionBy("part")))
+    out = save(seldom.unionByName(often.join(counts, "part")).where("columns > 1").select("part", "rep", "scheme", "columns"), "shared")
+    drop(seen, hot, often)
+    return out
+
+
 def _trips(grouped: DataFrame, visits: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The copies of each group, and rep, members, home, copy, visit, asks: where each class goes. A group has a copy for
     every ``VISIT_TOKENS`` tokens of visitors; its members go to all of its copies and ask
@@ -382,9 +404,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = classes.select("h1", "h2", "rep")
     heads = known.where(F.size("parts") > 0).withColumnRenamed("doc_id", "rep").join(sent(reps), ["rep", "h1", "h2"], "left_semi")
     all_marks = heads.select("rep", F.posexplode("parts").alias("i", "part"), "cut").select("rep", (F.col("i") >= F.col("cut")).cast("tinyint").alias("scheme"), "part")
-    # a part's classes are counted by partial sums; only parts of two or more go back to them
-    columns = save(all_marks.groupBy("part").agg(F.count(F.lit(1)).alias("columns")).where("columns > 1"), "columns")
-    shared = save(all_marks.join(sent(columns), "part"), "shared")
+    shared = _shared(all_marks)
     # a class goes on only if it shares as many parts as a linked one must
     needs = heads.select("rep", F.lit(0).cast("tinyint").alias("scheme"), F.col("need0").alias("need")).unionByName(
         heads.where("need1 > 0").select("rep", F.lit(1).cast("tinyint").alias("scheme"), F.col("need1").alias("need"))
@@ -394,7 +414,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     enough = save(enough.join(needs, ["rep", "scheme"]).where("met >= need").select("rep", "scheme", "need", "most"), "enough")
     needs = enough.select("rep", "scheme", "need")
     marks = save(shared.drop("columns").join(needs, ["rep", "scheme"]), "marks")
-    drop(columns, shared)
+    drop(shared)
 
     # groups: at first by the most shared part of each class, then by the heaviest group
     # that each class would visit, which draws those of one neighbourhood together

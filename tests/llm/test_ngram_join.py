@@ -145,3 +145,14 @@ def test_tables_are_deleted_and_names_are_free(spark, monkeypatch):
     got = {r.doc_id: r.component_id for r in ngram_join.jaccard_classes(df, "doc.id", "te`xt").collect()}
     assert got == {**dict.fromkeys(range(20), 0), 50: 50, 51: 50}
     assert {name for name, path in made if os.path.exists(path)} <= {"sets", "classes", "found", "small"}
+
+
+def test_parts_of_very_many_classes(spark, monkeypatch):
+    """Parts that the sample shows to be frequent are counted apart, with the same result."""
+    rows = near_copies(80) + [(100 + i, f"other words number {i} " * 4) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    expected = brute(rows, 3, 90)
+    for sampled, hot in ((1, 1), (4, 2), (64, 8)):
+        monkeypatch.setattr(ngram_join, "SAMPLED", sampled)
+        monkeypatch.setattr(ngram_join, "HOT", hot)
+        assert {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in ngram_join.jaccard_classes(df).collect()} == expected
