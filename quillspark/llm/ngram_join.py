@@ -340,7 +340,7 @@ def _drawn(marks: DataFrame, grouped: DataFrame, turn: int) -> DataFrame:
     that it links with must. It only decides where documents are compared, so the
     heaviest group of each part and, by turns, one in ``LOOKED_AT`` parts are looked at."""
     some = marks.where(F.pmod("part", F.lit(LOOKED_AT)) == turn % LOOKED_AT)
-    placed = some.select("rep", "scheme", "part", "need").join(grouped.select("rep", "home"), "rep")
+    placed = some.select("rep", "scheme", "part", "need").join(sent(grouped.select("rep", "home")), "rep")
     heaviest = placed.groupBy("part").agg(F.max("home").alias("to"))
     met = placed.join(heaviest, "part").where("to > home").groupBy("rep", "scheme", "to").agg(F.count(F.lit(1)).alias("met"), F.min("need").alias("need"))
     return met.where(F.col("met") * 2 * LOOKED_AT >= F.col("need")).groupBy("rep").agg(F.max("to").alias("drawn"))
@@ -352,7 +352,7 @@ def _visits(marks: DataFrame, grouped: DataFrame, needs: DataFrame) -> DataFrame
     that it links with must. Rows of the matrix are parts, its columns groups."""
     own = grouped.select("key", F.col("home").alias("to")).distinct()
     own = grouped.select("rep", "key", "home").join(own, "key").where("to > home").select("rep", "to")
-    placed = marks.select("rep", "scheme", "part").join(grouped.select("rep", "key", "home"), "rep")
+    placed = marks.select("rep", "scheme", "part").join(sent(grouped.select("rep", "key", "home")), "rep")
     cells = placed.select("part", F.col("key").alias("to_key"), F.col("home").alias("to")).distinct()
     met = placed.join(cells, "part").where("to > home and to_key <> key").groupBy("rep", "scheme", "to").agg(F.count(F.lit(1)).alias("met"))
     return own.unionByName(met.join(needs, ["rep", "scheme"]).where("met >= need").select("rep", "to")).distinct()
@@ -412,7 +412,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     needs = needs.groupBy("rep", "scheme").agg(F.min("need").alias("need"))
     enough = shared.groupBy("rep", "scheme").agg(F.count(F.lit(1)).alias("met"), F.max(F.struct("columns", "part")).alias("most"))
     enough = save(enough.join(needs, ["rep", "scheme"]).where("met >= need").select("rep", "scheme", "need", "most"), "enough")
-    needs = enough.select("rep", "scheme", "need")
+    needs = sent(enough.select("rep", "scheme", "need"))
     marks = save(shared.drop("columns").join(needs, ["rep", "scheme"]), "marks")
     drop(shared)
 
@@ -438,8 +438,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     trips = save(trips, "trips")
     drop(grouped, visits, copies)
     texts = docs.select(F.col(quoted(id_col)).cast("long").alias("rep"), F.col(quoted(text_col)).alias("text")).where("rep is not null")
-    texts = texts.join(sent(trips.select("rep").distinct()), "rep", "left_semi")
-    rows = texts.join(trips, "rep").select("home", "copy", "visit", "asks", "rep", "members", "text").repartition("home", "copy").sortWithinPartitions("home", "copy", "visit")
+    rows = texts.join(sent(trips), "rep").select("home", "copy", "visit", "asks", "rep", "members", "text").repartition("home", "copy").sortWithinPartitions("home", "copy", "visit")
     found = save(rows.mapInArrow(tidy(_open_groups(percent, width)), FOUND), "found")
     drop(trips)
 
